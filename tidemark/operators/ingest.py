@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.geo import looks_canadian
@@ -164,14 +164,15 @@ def store(
     if postings_path:
         targets.append(("new_postings", postings_path, to_postings(raw, as_of), POSTING_KEY))
     for name, path, rows, keys in targets:
-        fresh = insert_if_absent(
-            rows, read_or_empty(spark, path, rows), keys, "fetch_seq", measure=True
-        )
-        seen = Observation()
-        fresh.observe(seen, F.count("*").alias("n")).write.mode("append").partitionBy(
-            "source_type"
-        ).parquet(path)
-        gained[name] = seen.get["n"]
+        target = read_or_empty(spark, path, rows)
+        # written aside first: the append must not read the table it grows
+        fresh = pinned(insert_if_absent(rows, target, keys, "fetch_seq", measure=True))
+        gained[name] = fresh.count()
+        if gained[name]:
+            # rebalance merges small sources into few files and splits a hot one
+            fresh.hint("rebalance", "source_type").write.mode("append").partitionBy(
+                "source_type"
+            ).parquet(path)
     return gained
 
 

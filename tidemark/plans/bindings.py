@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark import fixed_values as fv
 from tidemark.functions.arrays import no_strings
 from tidemark.session import apply_defaults
 
@@ -208,10 +209,11 @@ e AS (SELECT event_id AS id, user_id AS run_id, event_type AS purpose,
              CAST(value AS DECIMAL(10,6)) AS cost_usd, ts AS created_at FROM events)
 """
 
-# location rules, as one CASE over a lower-case segment `g`
-def sql_segment_kind(g: str) -> str:
-    from tidemark import fixed_values as fv
+# --- locations ----------------------------------------------------------------
+
 
+def sql_segment_kind(g: str) -> str:
+    """The location rules as one CASE over a lower-case segment."""
     def words(values) -> str:
         escaped = [v.replace("(", r"\(").replace(")", r"\)").replace(".", r"\.").replace("'", "''") for v in values]
         return "|".join(escaped)
