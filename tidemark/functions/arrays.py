@@ -19,7 +19,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def sorted_set(items: Column) -> Column:
-    return F.array_sort(F.array_distinct(items))
+    return F.sort_array(F.array_distinct(items))
 
 
 def no_strings() -> Column:

@@ -75,7 +75,7 @@ def order_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = lines.join(parts, lines.l_partkey == parts.p_partkey).select(
         F.col("l_orderkey").alias("id"), F.explode(F.split("p_name", " ")).alias("word")
     )
-    return words.groupBy("id").agg(F.array_sort(F.collect_set("word")).alias("skills"))
+    return words.groupBy("id").agg(F.sort_array(F.collect_set("word")).alias("skills"))
 
 
 def postings(spark: SparkSession, sf_dir: str, skills: bool = True, company: bool = True) -> DataFrame:

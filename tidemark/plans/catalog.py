@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import boards, corpus, market
+from tidemark.plans import boards, corpus, market, skills
 
-_MODULES = (market, corpus, boards)
+_MODULES = (market, corpus, boards, skills)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
