@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import html
-from collections.abc import Callable
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -35,8 +35,8 @@ _HIDDEN = (
 )
 _TAG = r"""<[/!?]?[a-zA-Z](?:[^"'>]++|"[^"]*+"|'[^']*+'|["'])*+>"""
 
-# The entities replaced inside the JVM.  '&amp;' is last so that nothing is
-# unescaped twice.  Texts with any other entity go through html.unescape.
+# The entities replaced inside the JVM; '&amp;' is last so that nothing is
+# unescaped twice.  Any other entity is respelled first.
 _COMMON_ENTITIES = (
     ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"),
     ("&#x27;", "'"), ("&nbsp;", "\xa0"), ("&copy;", "©"), ("&middot;", "·"),
@@ -45,6 +45,7 @@ _COMMON_ENTITIES = (
     ("&amp;", "&"),
 )
 _OTHER_ENTITY = "&(?!(?:" + "|".join(e[1:-1] for e, _ in _COMMON_ENTITIES) + ");)[#a-zA-Z]"
+_ENTITY = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[a-zA-Z][a-zA-Z0-9]{0,31};?)")
 
 
 def strip(c: Column) -> Column:
@@ -117,30 +118,30 @@ def slug_guesses(name: Column) -> Column:
 
 
 @F.pandas_udf(StringType())
-def _unescape_rare(texts: pd.Series) -> pd.Series:
-    return texts.map(html.unescape, na_action="ignore")
+def _respelled(texts: pd.Series) -> pd.Series:
+    """Every entity as its character, or as a common entity where markup needs one."""
+    def respell(found: re.Match) -> str:
+        return html.escape(html.unescape(found.group(0)))
 
+    return texts.map(lambda t: _ENTITY.sub(respell, t), na_action="ignore")
 
-def _common(c: Column) -> Column:
+
+def _usual_entities(c: Column) -> Column:
+    """c with nothing but common entities.  Only texts that hold another one are
+    handed to Python, the rest travel as NULL."""
+    return F.coalesce(_respelled(F.when(c.rlike(_OTHER_ENTITY), c)), c)
+
+
+def _unescaped(c: Column) -> Column:
     out = c
     for entity, char in _COMMON_ENTITIES:
         out = F.replace(out, F.lit(entity), F.lit(char))
     return F.when(c.contains("&"), out).otherwise(c)
 
 
-def _unescaped(raw: Column, prepared: Column, finish: Callable[[Column], Column]) -> Column:
-    """finish(entities of prepared turned into characters, once).
-
-    The usual entities are replaced inside the JVM; only rows whose raw text
-    holds another one are handed to Python, the rest travel as NULL.
-    """
-    rare = _unescape_rare(F.when(raw.rlike(_OTHER_ENTITY), prepared))
-    return F.coalesce(finish(rare), finish(_common(prepared)))
-
-
 def unescape(c: Column) -> Column:
     """HTML entities to characters, once."""
-    return _unescaped(c, c, lambda t: t)
+    return let(_usual_entities(c), _unescaped)
 
 
 def _marked(markup: Column) -> Column:
@@ -150,25 +151,25 @@ def _marked(markup: Column) -> Column:
 
 
 def _lines(marked: Column) -> Column:
-    nodes = F.transform(F.split(marked, _NODE), strip)
-    return F.replace(
-        F.array_join(F.filter(nodes, lambda n: n != ""), "\n"), F.lit("\xa0"), F.lit(" ")
-    )
+    """The text between the marks: unescaped, trimmed, one node per line."""
+    def joined(t: Column) -> Column:
+        nodes = F.transform(F.split(_unescaped(t), _NODE), strip)
+        return F.array_join(F.filter(nodes, lambda n: n != ""), "\n")
+
+    return F.replace(let(marked, joined), F.lit("\xa0"), F.lit(" "))
 
 
 def html_to_text(markup: Column, inline: bool = False) -> Column:
     """The text nodes of markup, each trimmed, one per line; inline puts one space instead."""
-    given = F.coalesce(markup, F.lit(""))
-    text = _unescaped(given, _marked(given), _lines)
+    given = _usual_entities(F.coalesce(markup, F.lit("")))
+    text = let(given, lambda m: _lines(_marked(m)))
     return collapse_ws(text) if inline else text
 
 
 def html_parts_to_text(parts: Column) -> Column:
     """html_to_text over an array of fragments, keeping the array."""
-    prepared = F.array_join(F.transform(parts, lambda p: _marked(F.coalesce(p, F.lit("")))), _PART)
-    return _unescaped(
-        F.array_join(parts, ""), prepared, lambda t: F.transform(F.split(t, _PART), _lines)
-    )
+    given = _usual_entities(F.array_join(parts, _PART, ""))
+    return F.transform(F.split(given, _PART), lambda p: _lines(_marked(p)))
 
 
 def element_markup(markup: Column, tag: str, attribute_pattern: str = "") -> Column:
@@ -177,12 +178,9 @@ def element_markup(markup: Column, tag: str, attribute_pattern: str = "") -> Col
     Nested elements of the same name are followed by depth; an element that is
     never closed runs to the end.
     """
-    opening = rf"(?is)<{tag}(?=[\s>/])(?=[^>]*>){attribute_pattern}[^>]*>"
+    opening = rf"(?is)<{tag}(?=[\s>/])[^>]*>"
     if attribute_pattern:
         opening = rf"(?is)<{tag}(?=\s[^>]*{attribute_pattern})[^>]*>"
-    start = F.regexp_instr(markup, F.lit(opening))
-    rest = F.substr(markup, start)
-    pieces = F.split(rest, rf"(?i)(?=</?{tag}[\s>/])")
 
     def step(state: Column, piece: Column) -> Column:
         depth = state["depth"] + F.when(piece.startswith("</"), -1).otherwise(1)
@@ -193,19 +191,20 @@ def element_markup(markup: Column, tag: str, attribute_pattern: str = "") -> Col
             F.when(closes, state["at"]).otherwise(state["end"]).alias("end"),
         )
 
-    start_state = F.struct(
+    outside = F.struct(
         F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(None).cast("int").alias("end")
     )
-    inside = let(
-        pieces,
-        lambda p: F.array_join(
-            F.slice(
-                p, F.lit(1), F.coalesce(F.aggregate(p, start_state, step)["end"], F.size(p))
-            ),
-            "",
-        ),
-    )
-    return F.when(start > 0, F.regexp_replace(inside, r"(?s)\A<[^>]*>", ""))
+
+    def to_closing(pieces: Column) -> Column:
+        end = F.coalesce(F.aggregate(pieces, outside, step)["end"], F.size(pieces))
+        return F.array_join(F.slice(pieces, F.lit(1), end), "")
+
+    def from_opening(start: Column) -> Column:
+        pieces = F.split(F.substr(markup, start), rf"(?i)(?=</?{tag}[\s>/])")
+        inside = F.regexp_replace(let(pieces, to_closing), r"(?s)\A<[^>]*>", "")
+        return F.when(start > 0, inside)
+
+    return let(F.regexp_instr(markup, F.lit(opening)), from_opening)
 
 
 # Containers looked at in order: tag and the class word its class attribute must hold.
@@ -230,8 +229,6 @@ def main_content(markup: Column, containers=CONTENT_CONTAINERS, min_chars: int =
 
     A container is (tag, class, 'word' or 'part'), or (tag, '', '') for any such tag.
     """
-    visible = F.regexp_replace(markup, _HIDDEN, _NODE)
-
     def inside(clean: Column) -> Column:
         body = F.coalesce(
             element_markup(clean, "body"),
@@ -241,10 +238,15 @@ def main_content(markup: Column, containers=CONTENT_CONTAINERS, min_chars: int =
             element_markup(clean, tag, _class_pattern(name, how) if name else "")
             for tag, name, how in containers
         ]
-        return F.array(*named, body)
 
-    texts = html_parts_to_text(let(visible, inside))
-    return let(
-        F.filter(texts, lambda t: F.length(t) > min_chars),
-        lambda long_enough: F.coalesce(F.get(long_enough, F.lit(0)), F.lit("")),
-    )
+        def long_text(found: Column) -> Column:
+            return let(
+                _lines(_marked(F.coalesce(found, F.lit("")))),
+                lambda t: F.when(F.length(t) > min_chars, t),
+            )
+
+        # coalesce stops at the first container that is long enough
+        return F.coalesce(*[long_text(c) for c in [*named, body]], F.lit(""))
+
+    given = _usual_entities(F.coalesce(markup, F.lit("")))
+    return let(F.regexp_replace(given, _HIDDEN, _NODE), inside)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark import fixed_values as fv
 from tidemark.functions.arrays import no_strings
-from tidemark.session import apply_defaults
+from tidemark.session import apply_defaults, spread
 
 LOCATIONS = (
     "Toronto, Ontario", "Ottawa, Canada", "Remote (Canada)", "Kitchener-Waterloo, ON",
@@ -31,6 +31,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table with long texts, spread out for work that is heavy per row."""
+    return spread(table(spark, sf_dir, name), key)
+
+
 def pick(values, index: Column) -> Column:
     """values[index] for an index column."""
     return F.get(F.array(*[F.lit(v) for v in values]), index.cast("int"))
@@ -95,6 +100,8 @@ def postings(spark: SparkSession, sf_dir: str, skills: bool = True, company: boo
             F.col("c_name").alias("company"),
             pick(LOCATIONS, F.col("c_nationkey")).alias("location"),
             F.lower("c_mktsegment").alias("source_type"),
+            F.col("c_nationkey").alias("nation"),
+            F.col("c_acctbal").alias("balance"),
         )
         rows = rows.join(customers, "o_custkey")
     if skills:
@@ -116,7 +123,7 @@ p AS (SELECT o_orderkey AS id, o_orderpriority AS title, o_orderdate AS date_scr
              'https://x.example/jobs-' || (o_orderkey + 1000000) AS source_url,
              o_totalprice AS pay, c_name AS company,
              {sql_pick(LOCATIONS, 'c_nationkey')} AS location,
-             lower(c_mktsegment) AS source_type,
+             lower(c_mktsegment) AS source_type, c_nationkey AS nation, c_acctbal AS balance,
              coalesce(skills, []::VARCHAR[]) AS skills,
              'We look for ' || coalesce(array_to_string(skills, ', '), '') || ' and care.' AS raw_description
       FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN s ON s.k = o_orderkey),
@@ -151,7 +158,7 @@ d AS (SELECT o_orderkey AS fetch_seq, c_custkey,
 
 def document_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as listings; exact copies share a url."""
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir, "documents", "doc_id")
     return docs.select(
         F.col("source").alias("source_type"),
         F.col("source").alias("source_name"),

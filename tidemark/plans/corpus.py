@@ -21,6 +21,7 @@ from tidemark.plans.bindings import (
     sql_places_cte,
     sql_segment_kind,
     table,
+    texts,
     ts_text,
 )
 from tidemark.plans.scratch import run_folder
@@ -37,7 +38,7 @@ def doc_hash(spark, sf_dir):
 
 
 def doc_collapsed(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir, "documents", "doc_id")
     return docs.select("doc_id", F.md5(text.collapse_ws(F.col("text"))).alias("digest"))
 
 
@@ -104,18 +105,18 @@ def content_versions(spark, sf_dir):
 
 
 def doc_terms(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir, "documents", "doc_id")
     return docs.select("doc_id", list_text(terms.extract_terms(F.col("text"), VOCABULARY)).alias("terms"))
 
 
 def top_terms(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where(F.length("text") > 200)
+    docs = texts(spark, sf_dir, "documents", "doc_id").where(F.length("text") > 200)
     found = docs.select("lang", F.explode(terms.extract_terms(F.col("text"), VOCABULARY)).alias("term"))
     return found.groupBy("lang", "term").agg(F.count("*").alias("n"))
 
 
 def base_terms(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir, "documents", "doc_id")
     found = docs.select(F.explode(terms.extract_terms(F.col("text"))).alias("term"))
     return found.groupBy("term").agg(F.count("*").alias("n"))
 
@@ -169,7 +170,7 @@ def mixed_locations(spark, sf_dir):
 
 
 def page_text(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages")
+    pages = texts(spark, sf_dir, "pages", "page_id")
     return pages.select("page_id", text.html_to_text(F.col("html")).alias("text"))
 
 
@@ -179,24 +180,24 @@ def page_escaped_text(spark, sf_dir):
         F.replace(F.replace("html", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")),
         F.lit(">"), F.lit("&gt;"),
     )
-    pages = table(spark, sf_dir, "pages").select("page_id", escaped.alias("html"))
+    pages = texts(spark, sf_dir, "pages", "page_id").select("page_id", escaped.alias("html"))
     return pages.select("page_id", text.html_to_text(text.unescape(F.col("html"))).alias("text"))
 
 
 def page_title_inline(spark, sf_dir):
     title = text.element_markup(F.col("html"), "title")
     body = text.html_to_text(F.col("html"), inline=True)
-    pages = table(spark, sf_dir, "pages")
+    pages = texts(spark, sf_dir, "pages", "page_id")
     return pages.select("page_id", text.html_to_text(title, inline=True).alias("title"), body.alias("body"))
 
 
 def page_url_clean(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages")
+    pages = texts(spark, sf_dir, "pages", "page_id")
     return pages.select("page_id", text.strip_query(F.col("url")).alias("url"))
 
 
 def page_main_text(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages")
+    pages = texts(spark, sf_dir, "pages", "page_id")
     containers = (("main", "", ""), ("article", "", ""), *text.CONTENT_CONTAINERS)
     return pages.select("page_id", text.main_content(F.col("html"), containers).alias("text"))
 

@@ -87,18 +87,13 @@ def response(nation, with_skills=True):
     return F.when(nation == 10, body).otherwise(F.concat(body, F.lit("}")))
 
 
-def raw_listings(spark, sf_dir):
-    """Postings as raw listings; every tenth company posts without a date."""
-    customers = table(spark, sf_dir, "customer").select(
-        F.col("c_name").alias("company"), F.col("c_nationkey").alias("nation"), "c_acctbal"
-    )
-    p = postings(spark, sf_dir).join(customers, "company")
-    dated = F.when(F.col("c_acctbal") >= 0, F.col("date_scraped"))
-    return p.withColumn("posted_at", dated).drop("c_acctbal")
+def raw_listings(spark, sf_dir, skills=True):
+    """Postings as raw listings; companies in debt post without a date."""
+    p = postings(spark, sf_dir, skills=skills)
+    return p.withColumn("posted_at", F.when(F.col("balance") >= 0, F.col("date_scraped")))
 
 
-RAW_CTE = f"""{P_CTE}, raw AS (SELECT p.*, c_nationkey AS nation, CASE WHEN c_acctbal >= 0 THEN date_scraped END AS posted_at
-    FROM p JOIN customer ON c_name = company)"""
+RAW_CTE = f"""{P_CTE}, raw AS (SELECT p.*, CASE WHEN balance >= 0 THEN date_scraped END AS posted_at FROM p)"""
 
 
 def _responses(spark, sf_dir):
@@ -124,7 +119,9 @@ def _accepted(spark, sf_dir):
 
 def _component_rows(spark, sf_dir):
     lookup = dimensions.lookup_terms(skill_table(spark))
-    return components.flatten(_accepted(spark, sf_dir), raw_listings(spark, sf_dir), lookup, VERSION, MODEL)
+    return components.flatten(
+        _accepted(spark, sf_dir), raw_listings(spark, sf_dir, skills=False), lookup, VERSION, MODEL
+    )
 
 
 def components_flat(spark, sf_dir):
@@ -177,7 +174,7 @@ def attempt_outcomes(spark, sf_dir):
 def dead_letter_rows(spark, sf_dir):
     outcomes = components.resolve_attempts(_attempts(spark, sf_dir))
     now = F.lit("2002-01-01 00:00:00").cast("timestamp")
-    dead = components.dead_letters(outcomes, raw_listings(spark, sf_dir), VERSION, MODEL, now)
+    dead = components.dead_letters(outcomes, raw_listings(spark, sf_dir, skills=False), VERSION, MODEL, now)
     return dead.select(
         "kind", "raw_listing_id", "error", "attempts", ts_text(F.col("created_at")).alias("created_at"),
         F.get_json_object("payload", "$.source_url").alias("source_url"),
@@ -188,7 +185,7 @@ def dead_letter_rows(spark, sf_dir):
 def run_statistics(spark, sf_dir):
     """A run per source over resolved attempts."""
     outcomes = components.resolve_attempts(_attempts(spark, sf_dir))
-    raw = raw_listings(spark, sf_dir).select(
+    raw = raw_listings(spark, sf_dir, skills=False).select(
         F.col("id").alias("listing_id"), F.col("source_type").alias("run_id"),
         F.col("pay").cast("decimal(12,2)").alias("cost_usd"),
     )
@@ -200,7 +197,7 @@ def run_statistics(spark, sf_dir):
 
 def _versions(spark, sf_dir):
     """Component rows of two versions: all listings at v1, the sound ones at v2."""
-    raw = raw_listings(spark, sf_dir).withColumn("sound", pick(FAULTS, F.col("nation")) == "")
+    raw = raw_listings(spark, sf_dir, skills=False).withColumn("sound", pick(FAULTS, F.col("nation")) == "")
     flags = F.when(F.col("nation") == 11, True)
     def at(version, day, rows):
         return rows.select(
@@ -221,7 +218,7 @@ def latest_components(spark, sf_dir):
 
 
 def pending_listings(spark, sf_dir):
-    raw = raw_listings(spark, sf_dir)
+    raw = raw_listings(spark, sf_dir, skills=False)
     found = candidates.pending(
         raw, _versions(spark, sf_dir), VERSION, clock(raw, "date_scraped"), 365, ("furniture", "household")
     )
@@ -229,7 +226,7 @@ def pending_listings(spark, sf_dir):
 
 
 def pending_first(spark, sf_dir):
-    raw = raw_listings(spark, sf_dir)
+    raw = raw_listings(spark, sf_dir, skills=False)
     found = candidates.pending(
         raw, _versions(spark, sf_dir), VERSION, clock(raw, "date_scraped"), 365, ("furniture", "household"), 200
     )
@@ -238,7 +235,7 @@ def pending_first(spark, sf_dir):
 
 def extraction_status(spark, sf_dir):
     found = ledger.extraction_status(
-        raw_listings(spark, sf_dir), _versions(spark, sf_dir), _event_dead(spark, sf_dir),
+        raw_listings(spark, sf_dir, skills=False), _versions(spark, sf_dir), _event_dead(spark, sf_dir),
         event_ledger(spark, sf_dir), VERSION, "error",
     )
     return found.withColumn("spend_usd_total", money_text(F.col("spend_usd_total"))).withColumn(
