@@ -36,13 +36,13 @@ def assign_disposition(listings: DataFrame, canada_only: bool = True) -> DataFra
     """Adds disposition: 'duplicate', else 'filtered_location', else 'kept'.
 
     The first listing of a url speaks for it whether or not it is kept, so a
-    later copy of a dropped url is a duplicate.  Joined on fetch_seq, which is
-    unique, so a url repeated any number of times stays spread out.
+    later copy of a dropped url is a duplicate.  Joined on url and fetch_seq
+    together, so a url repeated any number of times stays spread out.
     """
     firsts = first_seqs(listings, ["source_url"], "fetch_seq").withColumn("is_first", F.lit(True))
     in_scope = looks_canadian(F.col("location")) if canada_only else F.lit(True)
     return (
-        listings.join(firsts, "fetch_seq", "left")
+        listings.join(firsts, ["source_url", "fetch_seq"], "left")
         .withColumn(
             "disposition",
             F.when(F.col("is_first").isNull(), "duplicate")

@@ -17,17 +17,18 @@ BROADCAST_ROWS = 200_000
 
 
 def first_seqs(rows: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
-    """The smallest seq of each key.  Partial aggregation absorbs hot keys."""
-    return rows.groupBy(*keys).agg(F.min(seq).alias(seq)).select(seq)
+    """keys and their smallest seq.  Partial aggregation absorbs hot keys."""
+    return rows.groupBy(*keys).agg(F.min(seq).alias(seq))
 
 
 def first_rows(rows: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
     """The row with the smallest seq of each key, whole.
 
-    seq is unique, so the join back cannot be skewed, and the first pass reads
+    seq tells the rows of a key apart.  Joining back on keys and seq together
+    spreads the rows of a hot key over all tasks, and the first pass reads
     nothing but keys and seq.
     """
-    return rows.join(first_seqs(rows, keys, seq), seq, "left_semi")
+    return rows.join(first_seqs(rows, keys, seq), [*keys, seq], "left_semi")
 
 
 def small_enough(rows: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
