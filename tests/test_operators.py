@@ -414,7 +414,7 @@ def test_scores_and_report(spark):
         "listing_id string, position int, company string, title string, skills array<string>, human_verified boolean",
     )
     said = spark.createDataFrame([("1", ["a"]), ("2", []), ("3", ["y"]), ("4", ["a", "b", "b"])], "listing_id string, predicted array<string>")
-    scores = evaluate.score(said, gold)
+    scores = evaluate.score(evaluate.pair(said, gold))
     assert {r.listing_id: r.f1 for r in scores.collect()} == {"1": 1.0, "2": 1.0, "3": 0.0, "4": 0.5}
     s = evaluate.summary(scores).first()
     assert (s.n, s.n_human_verified, s.tp, s.fp, s.fn, s.micro_precision, s.macro_f1) == (4, 2, 2, 2, 2, 0.5, 0.625)
@@ -423,10 +423,16 @@ def test_scores_and_report(spark):
     assert "| Micro (pooled) | 0.500 | 0.500 | 0.500 |" in text and "| C — t | 0.00 | y | x |" in text
 
 
+def test_predictions_in_place(spark):
+    rows = spark.createDataFrame([("1", "go and rust", ["go", "c"])], "listing_id string, raw_description string, skills array<string>")
+    (row,) = evaluate.score(evaluate.predict(rows)).collect()
+    assert (row.tp, row.false_positives, row.false_negatives, row.f1) == (1, ["rust"], ["c"], 0.5)
+
+
 def drafts(spark, n_same, n_other):
-    rows = [(str(i), ["a"], ["a"] if i < n_same else ["b"], "t", "c") for i in range(n_same + n_other)]
-    df = spark.createDataFrame(rows, "listing_id string, annotator_skills array<string>, baseline_skills array<string>, title string, company string")
-    return evaluate.draft_labels(df.drop("baseline_skills"), df.select("listing_id", "baseline_skills"))
+    rows = [(str(i), ["go"], "we use go" if i < n_same else "we use python", "t", "c") for i in range(n_same + n_other)]
+    df = spark.createDataFrame(rows, "listing_id string, annotator_skills array<string>, raw_description string, title string, company string")
+    return evaluate.draft_labels(df)
 
 
 def test_review_routing(spark):

@@ -26,9 +26,30 @@ NAME_ENDINGS = (
 )
 
 
+# Declared, so that opening a table starts no job to look into its files.
+SCHEMAS = {
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": (
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double,"
+        " o_orderdate timestamp_ntz, o_orderpriority string"
+    ),
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double,"
+        " l_extendedprice double, l_discount double, l_tax double, l_returnflag string,"
+        " l_linestatus string, l_shipdate timestamp_ntz"
+    ),
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "pages": "page_id bigint, url string, html string",
+    "labels": "doc_id bigint, quality int, toxic int",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     apply_defaults(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def texts(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
@@ -76,7 +97,7 @@ def order_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
     before the shuffle, so an order with any number of lines stays small.
     """
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    lines = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey"), "l_orderkey")
     words = lines.join(parts, lines.l_partkey == parts.p_partkey).select(
         F.col("l_orderkey").alias("id"), F.explode(F.split("p_name", " ")).alias("word")
     )
@@ -86,6 +107,8 @@ def order_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
 def postings(spark: SparkSession, sf_dir: str, skills: bool = True, company: bool = True) -> DataFrame:
     """Orders as postings.  What a query does not need is not joined."""
     orders = table(spark, sf_dir, "orders")
+    if skills:
+        orders = spread(orders, "o_orderkey")
     rows = orders.select(
         F.col("o_orderkey").alias("id"),
         "o_custkey",
@@ -173,10 +196,9 @@ def document_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def labelled_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def labelled_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that already carry a label: what an earlier run has landed."""
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("fetch_seq"))
-    return document_listings(spark, sf_dir).join(labels, "fetch_seq", "left_semi")
+    return table(spark, sf_dir, "labels").select(F.col("doc_id").alias("fetch_seq"))
 
 
 def sql_collapse(text: str) -> str:

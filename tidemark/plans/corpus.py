@@ -13,7 +13,7 @@ from tidemark.plans.bindings import (
     P_CTE,
     discovery_listings,
     document_listings,
-    labelled_listings,
+    labelled_ids,
     list_text,
     postings,
     sql_collapse,
@@ -25,6 +25,7 @@ from tidemark.plans.bindings import (
     ts_text,
 )
 from tidemark.plans.scratch import run_folder
+from tidemark.session import pinned
 
 # Frequent words and two-word phrases of the invented prose.
 VOCABULARY = (
@@ -57,28 +58,32 @@ def docs_fast_counts(spark, sf_dir):
     return ingest.fast_run_counts(document_listings(spark, sf_dir))
 
 
+def _hashed(spark, sf_dir):
+    """(listings with their hash, the labelled ones among them as landed before), hashed once."""
+    new = pinned(ingest.with_hash(document_listings(spark, sf_dir)))
+    return new, new.join(labelled_ids(spark, sf_dir), "fetch_seq", "left_semi")
+
+
 def docs_full_counts(spark, sf_dir):
     """Counters of a run against what labelled documents have landed before."""
-    marked = ingest.with_hash(ingest.assign_disposition(document_listings(spark, sf_dir)))
+    new, landed = _hashed(spark, sf_dir)
+    marked = ingest.assign_disposition(new)
     kept = marked.where(F.col("disposition") == "kept")
-    landed = ingest.with_hash(labelled_listings(spark, sf_dir))
     new_raw = ingest.insert_if_absent(kept, landed, ingest.RAW_KEY, "fetch_seq")
     new_postings = ingest.insert_if_absent(kept, landed, ingest.POSTING_KEY, "fetch_seq")
     return ingest.run_counts(marked, new_raw, new_postings)
 
 
 def docs_new_raw(spark, sf_dir):
-    new = ingest.with_hash(document_listings(spark, sf_dir))
-    landed = ingest.with_hash(labelled_listings(spark, sf_dir))
+    new, landed = _hashed(spark, sf_dir)
     fresh = ingest.insert_if_absent(new, landed, ingest.RAW_KEY, "fetch_seq")
     return fresh.select("fetch_seq", "source_type", "content_hash")
 
 
 def docs_new_postings(spark, sf_dir):
     new = document_listings(spark, sf_dir)
-    fresh = ingest.insert_if_absent(
-        new, labelled_listings(spark, sf_dir), ingest.POSTING_KEY, "fetch_seq", measure=True
-    )
+    landed = new.join(labelled_ids(spark, sf_dir), "fetch_seq", "left_semi")
+    fresh = ingest.insert_if_absent(new, landed, ingest.POSTING_KEY, "fetch_seq", measure=True)
     return fresh.select("fetch_seq", "source_url")
 
 

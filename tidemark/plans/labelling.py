@@ -13,26 +13,26 @@ KNOWN = ("red", "blue", "ring", "bolt", "gear", "small", "large", "new", "care")
 SEED = 42
 
 
-def predicted(spark, sf_dir):
-    p = postings(spark, sf_dir, company=False)
-    return p.select(F.col("id").cast("string").alias("listing_id"), extract_terms(F.col("raw_description"), KNOWN).alias("predicted"))
+def _known_terms(text):
+    return extract_terms(text, KNOWN)
 
 
 def gold(spark, sf_dir):
-    """Skills as gold labels; short lists are trusted as they are, long ones were verified."""
+    """Skills as gold labels; long lists were verified by a person."""
     p = postings(spark, sf_dir)
     return p.select(
         F.col("id").cast("string").alias("listing_id"),
         F.col("id").alias("position"),
         "title",
         "company",
+        "raw_description",
         "skills",
         (F.size("skills") > 6).alias("human_verified"),
     )
 
 
 def _scores(spark, sf_dir):
-    return evaluate.score(predicted(spark, sf_dir), gold(spark, sf_dir))
+    return evaluate.score(evaluate.predict(gold(spark, sf_dir), _known_terms))
 
 
 def _rounded(df, *columns):
@@ -42,7 +42,12 @@ def _rounded(df, *columns):
 
 
 def eval_rows(spark, sf_dir):
-    rows = _scores(spark, sf_dir).select(
+    """Predictions arrive as a table of their own."""
+    texts = postings(spark, sf_dir, company=False)
+    said = texts.select(
+        F.col("id").cast("string").alias("listing_id"), _known_terms(F.col("raw_description")).alias("predicted")
+    )
+    rows = evaluate.score(evaluate.pair(said, gold(spark, sf_dir))).select(
         "listing_id", "precision", "recall", "f1", "tp",
         list_text(F.col("false_positives")).alias("false_positives"),
         list_text(F.col("false_negatives")).alias("false_negatives"),
@@ -81,8 +86,7 @@ def _drafts(spark, sf_dir):
         F.lit("prod_db").alias("source"), F.lit("annotator").alias("annotator_model"),
         F.when(F.size("skills") > 7, F.col("skills")).otherwise(F.concat(seen, F.array(F.lit("care")))).alias("annotator_skills"),
     )
-    baseline = predicted(spark, sf_dir).withColumnRenamed("predicted", "baseline_skills")
-    return evaluate.draft_labels(annotated, baseline)
+    return evaluate.draft_labels(annotated, _known_terms)
 
 
 def draft_labels(spark, sf_dir):
