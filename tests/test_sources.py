@@ -22,11 +22,11 @@ def test_greenhouse(spark):
         "content": "&lt;div class=&quot;x&quot;&gt;&lt;p&gt;We &amp;amp; you&lt;/p&gt;&lt;/div&gt;",
     }
     bare = {"id": 7, "title": "T", "location": None, "absolute_url": "u", "content": None}
-    landed = land(spark, ("greenhouse", "knak", {"jobs": [job, bare], "meta": {"total": 2}}))
-    companies = spark.createDataFrame([("Knak", "x", "greenhouse", "knak"), ("Other", "x", "lever", "knak")], COMPANY)
+    landed = land(spark, ("greenhouse", "birch", {"jobs": [job, bare], "meta": {"total": 2}}))
+    companies = spark.createDataFrame([("Birch", "x", "greenhouse", "birch"), ("Other", "x", "lever", "birch")], COMPANY)
     got = by_id(boards.normalize(landed, "greenhouse", companies))
     first, second = got["4638026005"], got["7"]
-    assert (first.company, first.location, first.description) == ("Knak", "Ottawa, Canada", "We & you")
+    assert (first.company, first.location, first.description) == ("Birch", "Ottawa, Canada", "We & you")
     assert str(first.posted_at).startswith("2025-12-09") and json.loads(first.payload) == job
     assert (second.location, second.description, second.posted_at) == (None, "", None)
     assert first.fetch_seq < second.fetch_seq

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import sql, terms
 from tidemark.functions.text import long_id, strip_query
-from tidemark.operators import search, trends
+from tidemark.operators import ingest, search, trends
 from tidemark.plans.bindings import P_CTE, clock, list_text, postings, ts_text
 
 NAMED = ("red", "widget", "absent", "bolt")
@@ -133,7 +134,45 @@ def posting_urls(spark, sf_dir):
     return p.select("id", strip_query(tracked).alias("url"), long_id(tracked).alias("long_id"))
 
 
+def posting_rows(spark, sf_dir):
+    """Listings as they enter the postings table: unstated locations read Unknown."""
+    p = postings(spark, sf_dir, skills=False).withColumnRenamed("id", "fetch_seq")
+    listings = p.withColumn("description", F.concat_ws(" ", "title", "source_type"))
+    now = clock(p, "date_scraped")
+    rows = ingest.to_postings(listings, now, lambda text: terms.extract_terms(text, ("high", "low", "urgent")))
+    return rows.select(
+        "source_url", "location", list_text(F.col("skills")).alias("skills"), ts_text(F.col("date_scraped")).alias("date_scraped")
+    )
+
+
+def posting_inserted(spark, sf_dir):
+    """Two single inserts into the postings table, one of a url it has already."""
+    p = postings(spark, sf_dir, skills=False).select("source_url", "title", F.col("id").alias("fetch_seq"))
+    known = p.agg(F.max("source_url").alias("source_url"), F.lit("again").alias("title"), F.lit(1).cast("bigint").alias("fetch_seq"))
+    fresh = p.agg(F.lit("https://x.example/new").alias("source_url"), F.lit("new").alias("title"), F.lit(2).cast("bigint").alias("fetch_seq"))
+    added = ingest.insert_if_absent(known.unionByName(fresh), p, ingest.POSTING_KEY, "fetch_seq", measure=True)
+    return p.unionByName(added).groupBy("title").agg(F.count("*").alias("n"))
+
+
+def sql_functions(spark, sf_dir):
+    """The scalar functions called from SQL over postings."""
+    sql.register(spark)
+    return spark.sql(
+        """SELECT id, content_hash(concat(title, '  '), company, location, 'x') AS digest,
+                  match_key(company) AS key, long_id(concat(source_url, '?a=1')) AS ident,
+                  strip_query(concat(source_url, '?a=1')) AS url, collapse_ws(concat(' ', title, '\n x ')) AS title,
+                  date_format(parse_ts(date_format(date_scraped, "yyyy-MM-dd'T'HH:mm:ss-01:00")), 'yyyy-MM-dd HH:mm:ss') AS parsed,
+                  CAST(CAST(cad_annual_estimate(pay, NULL, 'usd', 'hour') AS DECIMAL(18,6)) AS STRING) AS estimate,
+                  date_format(week_of(date_scraped), 'yyyy-MM-dd') AS week, strip_ws(concat('\t', source_type)) AS source
+           FROM {postings}""",
+        postings=postings(spark, sf_dir, skills=False),
+    )
+
+
 QUERIES = {
+    "posting_rows": posting_rows,
+    "posting_inserted": posting_inserted,
+    "sql_functions": sql_functions,
     "total_jobs": total_jobs,
     "top_skills": top_skills,
     "top_roles": top_roles,
@@ -176,6 +215,17 @@ def _where(condition: str) -> str:
 
 
 ORACLES = {
+    "posting_rows": f"""WITH {P_CTE} SELECT source_url, coalesce(location, 'Unknown') AS location,
+        CASE title WHEN '1-URGENT' THEN 'urgent' WHEN '2-HIGH' THEN 'high' WHEN '5-LOW' THEN 'low' ELSE '' END AS skills,
+        (SELECT strftime(t, '%Y-%m-%d %H:%M:%S') FROM now_p) AS date_scraped FROM p""",
+    "posting_inserted": """SELECT o_orderpriority AS title, count(*) AS n FROM orders GROUP BY 1
+        UNION ALL SELECT 'new', 1""",
+    "sql_functions": f"""WITH {P_CTE} SELECT id, sha256(lower(title) || chr(31) || lower(company) || chr(31)
+          || lower(coalesce(location, '')) || chr(31) || 'x') AS digest,
+        replace(lower(company), '#', '#') AS key, CAST(id + 1000000 AS VARCHAR) AS ident, source_url AS url, title || ' x' AS title,
+        strftime(date_scraped + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS parsed,
+        CAST(CAST(round_even(CAST(pay AS DECIMAL(18,2)) * 2080 * CAST(1.37 AS DECIMAL(5,2)), 2) AS DECIMAL(18,6)) AS VARCHAR) AS estimate,
+        strftime(date_trunc('week', date_scraped), '%Y-%m-%d') AS week, source_type AS source FROM p""",
     "total_jobs": "SELECT count(*) AS total_jobs FROM orders",
     "top_skills": f"{_M} SELECT skill, count(*) AS n FROM m GROUP BY skill ORDER BY n DESC, skill LIMIT 20",
     "top_roles": """SELECT o_orderpriority AS title, count(*) AS n FROM orders
