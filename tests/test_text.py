@@ -66,8 +66,13 @@ def test_html_to_text(values):
 
 
 def test_twice_escaped_markup(values):
-    given = ["&lt;p&gt;R&amp;amp;D &amp;eacute;&lt;/p&gt;\n&lt;b&gt;x&lt;/b&gt;"]
-    assert values(given, "string", lambda c: text.html_to_text(text.unescape(c))) == ["R&D é\nx"]
+    given = [
+        "&lt;p&gt;R&amp;amp;D &amp;eacute;&lt;/p&gt;\n&lt;b&gt;x&lt;/b&gt;", "&lt;p&gt;R&amp;D &amp;nbsp; y&lt;/p&gt;",
+        "&#60;i&#62;a&#38;lt;b", None,
+    ]
+    one = values(given, "string", lambda c: text.html_to_text(c, escaped=True))
+    assert one == ["R&D é\nx", "R&D   y", "a<b", ""]
+    assert one[:3] == values(given[:3], "string", lambda c: text.html_to_text(text.unescape(c)))
 
 
 def test_main_content_follows_nesting(values):

@@ -44,7 +44,9 @@ _COMMON_ENTITIES = (
     ("&ldquo;", "“"), ("&rdquo;", "”"), ("&bull;", "•"), ("&hellip;", "…"),
     ("&amp;", "&"),
 )
-_OTHER_ENTITY = "&(?!(?:" + "|".join(e[1:-1] for e, _ in _COMMON_ENTITIES) + ");)[#a-zA-Z]"
+_NOT_COMMON = "(?!(?:" + "|".join(e[1:-1] for e, _ in _COMMON_ENTITIES) + ");)[#a-zA-Z]"
+_OTHER_ENTITY = "&" + _NOT_COMMON
+_OTHER_ENTITY_TWICE = "&(?:amp;)?" + _NOT_COMMON
 _ENTITY = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[a-zA-Z][a-zA-Z0-9]{0,31};?)")
 
 
@@ -117,18 +119,29 @@ def slug_guesses(name: Column) -> Column:
 # --- markup -----------------------------------------------------------------
 
 
+def _respell(text: str) -> str:
+    """Every entity as its character, or as a common entity where markup needs one."""
+    return _ENTITY.sub(lambda found: html.escape(html.unescape(found.group(0))), text)
+
+
 @F.pandas_udf(StringType())
 def _respelled(texts: pd.Series) -> pd.Series:
-    """Every entity as its character, or as a common entity where markup needs one."""
-    def respell(found: re.Match) -> str:
-        return html.escape(html.unescape(found.group(0)))
+    return texts.map(_respell, na_action="ignore")
+
 
-    return texts.map(lambda t: _ENTITY.sub(respell, t), na_action="ignore")
+@F.pandas_udf(StringType())
+def _unescaped_respelled(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: _respell(html.unescape(t)), na_action="ignore")
 
 
-def _usual_entities(c: Column) -> Column:
-    """c with nothing but common entities.  Only texts that hold another one are
-    handed to Python, the rest travel as NULL."""
+def _usual_entities(c: Column, escaped: bool = False) -> Column:
+    """c, unescaped once if it is escaped as a whole, with nothing but common entities.
+
+    Only texts that hold another one are handed to Python, the rest travel as NULL.
+    """
+    if escaped:
+        rare = _unescaped_respelled(F.when(c.rlike(_OTHER_ENTITY_TWICE), c))
+        return F.coalesce(rare, _unescaped(c))
     return F.coalesce(_respelled(F.when(c.rlike(_OTHER_ENTITY), c)), c)
 
 
@@ -159,9 +172,12 @@ def _lines(marked: Column) -> Column:
     return F.replace(let(marked, joined), F.lit("\xa0"), F.lit(" "))
 
 
-def html_to_text(markup: Column, inline: bool = False) -> Column:
-    """The text nodes of markup, each trimmed, one per line; inline puts one space instead."""
-    given = _usual_entities(F.coalesce(markup, F.lit("")))
+def html_to_text(markup: Column, inline: bool = False, escaped: bool = False) -> Column:
+    """The text nodes of markup, each trimmed, one per line; inline puts one space instead.
+
+    escaped: the markup itself is entity-escaped (&lt;p&gt;) and is unescaped first.
+    """
+    given = _usual_entities(F.coalesce(markup, F.lit("")), escaped)
     text = let(given, lambda m: _lines(_marked(m)))
     return collapse_ws(text) if inline else text
 

@@ -186,7 +186,7 @@ def page_escaped_text(spark, sf_dir):
         F.lit(">"), F.lit("&gt;"),
     )
     pages = texts(spark, sf_dir, "pages", "page_id").select("page_id", escaped.alias("html"))
-    return pages.select("page_id", text.html_to_text(text.unescape(F.col("html"))).alias("text"))
+    return pages.select("page_id", text.html_to_text(F.col("html"), escaped=True).alias("text"))
 
 
 def page_title_inline(spark, sf_dir):
