@@ -113,6 +113,24 @@ def test_content_versions(spark):
     assert got == {("1", "h1"): (1, False), ("1", "h2"): (2, True), ("2", "h1"): (1, False)}
 
 
+def test_a_hot_url_stays_spread_out(spark):
+    """All rows share a url: one of them is kept, and no task gets most of them."""
+    rows = spark.range(20000).select(
+        F.lit("lever").alias("source_type"), F.lit("u").alias("source_url"), F.lit(None).cast("string").alias("location"),
+        F.col("id").alias("fetch_seq"),
+    )
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        marked = ingest.assign_disposition(rows).withColumn("task", F.spark_partition_id())
+        sizes = [r["count"] for r in marked.groupBy("task").count().collect()]
+        assert marked.where("disposition = 'kept'").count() == 1 and max(sizes) < 20000 / 2
+        assert ingest.insert_if_absent(rows, rows.limit(0), ["source_url"], "fetch_seq").count() == 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 # --- search and trends ------------------------------------------------------------
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,19 +110,19 @@ def insert_if_absent(
 ) -> DataFrame:
     """The rows of new to append: first of each key, and only keys target lacks.
 
-    measure=True counts the batch; if it is small, its keys are broadcast to
-    find the known ones, and the big target is read once but never shuffled.
-    Otherwise both sides meet in one anti join.  Keys are unique on both sides
-    by then, so neither join can be skewed.
+    Winners are found on keys and seq alone; whole rows move once, to be joined
+    with them.  measure=True counts the batch keys: if they are few, they are
+    broadcast to find the known ones, and the big target is read but never
+    shuffled.  Keys are unique on both sides of the anti join, and the last join
+    includes seq, so no hot key meets in one task.
     """
     names = list(keys)
-    firsts = first_rows(new, names, seq)
+    firsts = first_seqs(new, names, seq)
     known = target.select(*names)
-    if measure:
-        wanted = new.select(*names).distinct()
-        if small_enough(wanted):
-            known = known.join(F.broadcast(wanted), names, "left_semi")
-    return firsts.join(known, names, "left_anti")
+    if measure and small_enough(firsts):
+        known = known.join(F.broadcast(firsts.select(*names)), names, "left_semi")
+    fresh = firsts.join(known, names, "left_anti")
+    return new.join(fresh, [*names, seq], "left_semi")
 
 
 def to_postings(kept: DataFrame, as_of: Column, extract=extract_terms) -> DataFrame:
@@ -140,13 +141,28 @@ def to_postings(kept: DataFrame, as_of: Column, extract=extract_terms) -> DataFr
     )
 
 
-def read_or_empty(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    """The table at path, or no rows if nothing was written yet."""
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(hadoop_path):
-        return spark.read.schema(like.schema).parquet(path)
-    return spark.createDataFrame([], like.schema)
+def landed_keys(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
+    """The key columns of the table at path, or no rows if nothing was written yet."""
+    schema = ", ".join(f"{key} string" for key in keys)
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def _append(kept: DataFrame, path: str, keys: Sequence[str], shape) -> int:
+    known = landed_keys(kept.sparkSession, path, keys)
+    # written aside first: the append must not read the table it grows
+    fresh = pinned(shape(insert_if_absent(kept, known, keys, "fetch_seq", measure=True)))
+    gained = fresh.count()
+    if gained:
+        # rebalance merges small sources into few files and splits a hot one
+        fresh.hint("rebalance", "source_type").write.mode("append").partitionBy(
+            "source_type"
+        ).parquet(path)
+    return gained
 
 
 def store(
@@ -157,22 +173,13 @@ def store(
     Both appends skip keys already there, so running a batch again adds nothing.
     Returns how many rows each table gained.
     """
-    spark = kept.sparkSession
-    gained = {}
-    raw = pinned(with_hash(kept))  # normalised and hashed once for all the steps below
-    targets = [("new_raw", raw_path, raw, RAW_KEY)]
+    raw = pinned(with_hash(kept))  # normalised and hashed once for the steps below
+    gained = {"new_raw": _append(raw, raw_path, RAW_KEY, lambda rows: rows)}
     if postings_path:
-        targets.append(("new_postings", postings_path, to_postings(raw, as_of), POSTING_KEY))
-    for name, path, rows, keys in targets:
-        target = read_or_empty(spark, path, rows)
-        # written aside first: the append must not read the table it grows
-        fresh = pinned(insert_if_absent(rows, target, keys, "fetch_seq", measure=True))
-        gained[name] = fresh.count()
-        if gained[name]:
-            # rebalance merges small sources into few files and splits a hot one
-            fresh.hint("rebalance", "source_type").write.mode("append").partitionBy(
-                "source_type"
-            ).parquet(path)
+        # terms are extracted from new postings only
+        gained["new_postings"] = _append(
+            raw, postings_path, POSTING_KEY, lambda rows: to_postings(rows, as_of)
+        )
     return gained
 
 

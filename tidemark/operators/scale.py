@@ -32,8 +32,8 @@ def first_rows(rows: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
 
 
 def small_enough(rows: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Whether rows holds at most limit rows; reads no more than limit + 1 of them."""
-    return rows.limit(limit + 1).count() <= limit
+    """Whether rows, narrow ones, are few enough to be broadcast: they are counted."""
+    return rows.count() <= limit
 
 
 def running_before(
@@ -49,7 +49,8 @@ def running_before(
     ranges of (keys, order); a range total and a short window over the totals
     give each range its starting value, and only a range is ever sorted in one
     task.  The cut is written to the checkpoint folder, because totals and rows
-    must agree on it even when tasks are run again.
+    must agree on it even when tasks are run again; pass the columns that are
+    needed, not whole texts.
     """
     count = slices or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     inputs = {f"_v_{name}": value for name, value in values.items()}
