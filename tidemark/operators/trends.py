@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.search import check_range, days_before
+from tidemark.session import pinned
 
 
 def total_jobs(postings: DataFrame) -> DataFrame:
@@ -69,17 +70,37 @@ def week_of(ts: Column) -> Column:
 
 
 def weekly_counts(
-    postings: DataFrame, as_of: datetime | Column, weeks: int, skills: Sequence[str] | DataFrame
+    postings: DataFrame, as_of: datetime | Column, weeks: int, skills: Sequence[str]
 ) -> DataFrame:
     """(week, skill, n) of the wanted skills inside the trailing window."""
     check_range("weeks", weeks, 1, 52)
     recent = postings.where(F.col("date_scraped") >= days_before(as_of, 7 * weeks))
     dated = mentions(recent, week_of(F.col("date_scraped")).alias("week"))
-    if isinstance(skills, DataFrame):  # at most 100 rows, a top-n result
-        dated = dated.join(F.broadcast(skills.select("skill")), "skill", "left_semi")
-    else:
-        dated = dated.where(F.col("skill").isin(*skills))
-    return dated.groupBy("week", "skill").agg(F.count("*").alias("n"))
+    return dated.where(F.col("skill").isin(*skills)).groupBy("week", "skill").agg(
+        F.count("*").alias("n")
+    )
+
+
+def top_weekly_counts(
+    postings: DataFrame, as_of: datetime | Column, weeks: int, n: int = 5
+) -> DataFrame:
+    """weekly_counts of the n overall most frequent skills, from one pass over the postings.
+
+    Older weeks are folded into one row per skill, so what is kept between the
+    ranking and the selection is skills times weeks, not mentions.
+    """
+    check_range("weeks", weeks, 1, 52)
+    check_range("top_n", n, 1, 100)
+    date = F.col("date_scraped")
+    week = F.when(date >= days_before(as_of, 7 * weeks), week_of(date))
+    counts = pinned(
+        mentions(postings, week.alias("week")).groupBy("week", "skill").agg(F.count("*").alias("n"))
+    )
+    totals = counts.groupBy("skill").agg(F.sum("n").alias("total"))
+    top = totals.orderBy(F.desc("total"), "skill").limit(n)  # at most 100 rows
+    return counts.where(F.col("week").isNotNull()).join(
+        F.broadcast(top.select("skill")), "skill", "left_semi"
+    )
 
 
 def skill_history(
@@ -89,8 +110,11 @@ def skill_history(
     weeks: int = 8,
 ) -> DataFrame:
     """Weekly counts per skill, ordered by week and skill; the overall top five by default."""
-    wanted = list(skills) if skills else top_skills(postings, 5)
-    return weekly_counts(postings, as_of, weeks, wanted).orderBy("week", "skill")
+    if skills:
+        counts = weekly_counts(postings, as_of, weeks, skills)
+    else:
+        counts = top_weekly_counts(postings, as_of, weeks)
+    return counts.select("week", "skill", "n").orderBy("week", "skill")
 
 
 def skill_series(

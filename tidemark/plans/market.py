@@ -148,9 +148,12 @@ def posting_rows(spark, sf_dir):
 def posting_inserted(spark, sf_dir):
     """Two single inserts into the postings table, one of a url it has already."""
     p = postings(spark, sf_dir, skills=False).select("source_url", "title", F.col("id").alias("fetch_seq"))
-    known = p.agg(F.max("source_url").alias("source_url"), F.lit("again").alias("title"), F.lit(1).cast("bigint").alias("fetch_seq"))
-    fresh = p.agg(F.lit("https://x.example/new").alias("source_url"), F.lit("new").alias("title"), F.lit(2).cast("bigint").alias("fetch_seq"))
-    added = ingest.insert_if_absent(known.unionByName(fresh), p, ingest.POSTING_KEY, "fetch_seq", measure=True)
+    newest = p.agg(F.max("source_url").alias("url"), F.max("fetch_seq").alias("seq"))
+    rows = F.inline(F.array(
+        F.struct(F.col("url").alias("source_url"), F.lit("again").alias("title"), (F.col("seq") + 1).alias("fetch_seq")),
+        F.struct(F.concat("url", F.lit("-new")).alias("source_url"), F.lit("new").alias("title"), (F.col("seq") + 2).alias("fetch_seq")),
+    ))
+    added = ingest.insert_if_absent(newest.select(rows), p, ingest.POSTING_KEY, "fetch_seq", measure=True)
     return p.unionByName(added).groupBy("title").agg(F.count("*").alias("n"))
 
 

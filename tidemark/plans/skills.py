@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark import fixed_values as fv
+from tidemark.functions.text import match_key
 from tidemark.operators import queues, taxonomy
 from tidemark.plans.bindings import (
     DISCOVERY_CTE,
+    NAME_ENDINGS,
     P_CTE,
-    clock,
     discovery_listings,
     list_text,
     pick,
@@ -19,6 +20,7 @@ from tidemark.plans.bindings import (
     ts_text,
 )
 from tidemark.schemas import SKILL
+from tidemark.session import pinned
 from tidemark.sources import dimensions
 
 # id, category, aliases; hot and cold are left out on purpose.
@@ -98,8 +100,6 @@ def taxonomy_checks(spark, sf_dir):
 
 
 def match_keys(spark, sf_dir):
-    from tidemark.functions.text import match_key
-
     parts = table(spark, sf_dir, "part")
     return parts.select("p_partkey", match_key(F.concat_ws(" C#/.", "p_brand", "p_type")).alias("key"))
 
@@ -150,8 +150,6 @@ def queue_pending(spark, sf_dir):
 def _known(spark, sf_dir):
     """Customers of one segment are in the dimension already, under their full name."""
     customers = table(spark, sf_dir, "customer").where(F.col("c_mktsegment") == "BUILDING")
-    from tidemark.plans.bindings import NAME_ENDINGS
-
     name = F.concat_ws(" ", F.translate("c_name", "#", " "), pick(NAME_ENDINGS, F.col("c_custkey") % 8))
     return customers.select(F.upper(name).alias("name"))
 
@@ -186,9 +184,10 @@ def board_rank(spark, sf_dir):
     return queues.board_stats(_boards(spark, sf_dir))
 
 
-def _probed(spark, sf_dir):
+def _probed(spark, sf_dir, queue=None):
     stats = queues.board_stats(_boards(spark, sf_dir))
-    return queues.probe(_company_queue(spark, sf_dir), stats, F.lit(NOW).cast("timestamp"))
+    pending = _company_queue(spark, sf_dir) if queue is None else queue
+    return queues.probe(pending, stats, F.lit(NOW).cast("timestamp"))
 
 
 def board_probe(spark, sf_dir):
@@ -205,7 +204,8 @@ def suggestion_blocks(spark, sf_dir):
 
 
 def queue_reprobe(spark, sf_dir):
-    merged = queues.merge_probe(_company_queue(spark, sf_dir), _probed(spark, sf_dir))
+    queue = pinned(_company_queue(spark, sf_dir))
+    merged = queues.merge_probe(queue, _probed(spark, sf_dir, queue))
     found = queues.reprobe(merged)
     return found.select("company_key", "status", F.col("probed_at").isNotNull().alias("probed"))
 
