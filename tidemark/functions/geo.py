@@ -19,7 +19,7 @@ _CANADA = one_of(("canada", "(can)", *fv.PROVINCES))
 _PROVINCE_CODE = _code(fv.PROVINCE_CODES, ",).|")
 _INCLUSIVE = one_of(fv.CANADA_INCLUSIVE_REGIONS)
 _FOREIGN = one_of(fv.FOREIGN_PLACES)
-_US = r"(?U)\bu\.?s\.?a?\.?\b"
+_US = "(?U)" + fv.US_PATTERN
 _STATE_CODE = _code(fv.US_STATE_CODES, ",).|")
 _CITY = one_of(fv.CITIES)
 _ARRANGEMENT = one_of(fv.ARRANGEMENT_WORDS)

@@ -29,7 +29,7 @@ def _collapsed(c: str) -> str:
 FUNCTIONS = {
     "strip_ws": ("c STRING", "STRING", f"btrim(c, {_text(SPACE_CHARS)})"),
     "collapse_ws": ("c STRING", "STRING", _collapsed("c")),
-    "match_key": ("c STRING", "STRING", "regexp_replace(lower(c), '[^a-z0-9+#]+', '')"),
+    "match_key": ("c STRING", "STRING", f"regexp_replace(lower(c), {_text(fv.MATCH_KEY_DROPPED)}, '')"),
     "content_hash": (
         "title STRING, company STRING, location STRING, description STRING",
         "STRING",
@@ -49,7 +49,7 @@ FUNCTIONS = {
     "long_id": (
         "url STRING",
         "STRING",
-        f"nullif(regexp_extract(url, {_text(r'[-/](\d{7,})(?:\?|$)')}, 1), '')",
+        f"nullif(regexp_extract(url, {_text(fv.LONG_ID_PATTERN)}, 1), '')",
     ),
     "cad_annual_estimate": (
         "low DOUBLE, high DOUBLE, currency STRING, period STRING",

@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from tidemark import fixed_values as fv
 from tidemark.functions.arrays import let, null_if_empty
 
 # Unicode white space, as str.split() sees it.  Java's \s is ASCII only.
@@ -66,7 +67,7 @@ def fold(c: Column) -> Column:
 
 def match_key(c: Column) -> Column:
     """Comparison key of a skill spelling: only a-z, 0-9, + and # count."""
-    return F.regexp_replace(F.lower(c), "[^a-z0-9+#]+", "")
+    return F.regexp_replace(F.lower(c), fv.MATCH_KEY_DROPPED, "")
 
 
 def content_hash(title: Column, company: Column, location: Column, description: Column) -> Column:
@@ -92,7 +93,7 @@ def strip_query(url: Column) -> Column:
 
 def long_id(url: Column) -> Column:
     """The trailing 7+ digit id of a posting url."""
-    return null_if_empty(F.regexp_extract(url, r"[-/](\d{7,})(?:\?|$)", 1))
+    return null_if_empty(F.regexp_extract(url, fv.LONG_ID_PATTERN, 1))
 
 
 def cut(c: Column, max_chars: int) -> Column:
@@ -102,7 +103,7 @@ def cut(c: Column, max_chars: int) -> Column:
 
 def slug_guesses(name: Column) -> Column:
     """Likely board tokens of a company name: words joined, then hyphenated."""
-    base = F.regexp_replace(fold(name), r"(?U)\b(?:(?:inc|ltd)\.?|llc|corp|co)\.?$", "")
+    base = F.regexp_replace(fold(name), "(?U)" + fv.LEGAL_SUFFIX_PATTERN, "")
     words = F.split(F.regexp_replace(strip(base), "[^a-z0-9 ]", ""), " ")
 
     def join(found: Column) -> Column:
@@ -223,16 +224,6 @@ def element_markup(markup: Column, tag: str, attribute_pattern: str = "") -> Col
     return let(F.regexp_instr(markup, F.lit(opening)), from_opening)
 
 
-# Containers looked at in order: tag and the class word its class attribute must hold.
-CONTENT_CONTAINERS = (
-    ("div", "show-more-less-html__markup", "word"),
-    ("div", "description__text", "part"),
-    ("section", "description", "part"),
-    ("div", "description", "word"),
-    ("div", "job-description", "word"),
-)
-
-
 def _class_pattern(name: str, how: str) -> str:
     value = rf"[^\"'>]*{name}[^\"'>]*"
     if how == "word":
@@ -240,7 +231,7 @@ def _class_pattern(name: str, how: str) -> str:
     return rf"\bclass\s*=\s*[\"']{value}[\"']"
 
 
-def main_content(markup: Column, containers=CONTENT_CONTAINERS, min_chars: int = 50) -> Column:
+def main_content(markup: Column, containers=fv.CONTENT_CONTAINERS, min_chars: int = fv.MIN_CONTENT_CHARS) -> Column:
     """Text of the first container that holds more than min_chars, else of the body, else ''.
 
     A container is (tag, class, 'word' or 'part'), or (tag, '', '') for any such tag.

@@ -52,11 +52,12 @@ def running_before(
     must agree on it even when tasks are run again; pass the columns that are
     needed, not whole texts.
     """
-    count = slices or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     inputs = {f"_v_{name}": value for name, value in values.items()}
     ranged = rows.select("*", *[v.alias(n) for n, v in inputs.items()])
+    # without a number, small neighbouring ranges are merged at run time
+    cut = [slices] if slices else []
     ranged = pinned(
-        ranged.repartitionByRange(count, *keys, *order).withColumn("_slice", F.spark_partition_id())
+        ranged.repartitionByRange(*cut, *keys, *order).withColumn("_slice", F.spark_partition_id())
     )
     totals = ranged.groupBy(*keys, "_slice").agg(*[F.sum(n).alias(f"_t{n}") for n in inputs])
     earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)

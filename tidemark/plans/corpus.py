@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark import fixed_values as fv
 from tidemark.functions import geo, terms, text
 from tidemark.operators import evaluate, ingest, quality
 from tidemark.plans.bindings import (
@@ -203,7 +204,7 @@ def page_url_clean(spark, sf_dir):
 
 def page_main_text(spark, sf_dir):
     pages = texts(spark, sf_dir, "pages", "page_id")
-    containers = (("main", "", ""), ("article", "", ""), *text.CONTENT_CONTAINERS)
+    containers = (("main", "", ""), ("article", "", ""), *fv.CONTENT_CONTAINERS)
     return pages.select("page_id", text.main_content(F.col("html"), containers).alias("text"))
 
 

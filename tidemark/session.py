@@ -21,8 +21,11 @@ def build_session(app_name: str = "tidemark", master: str | None = None, **conf:
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    # checkpoint files go when nothing refers to them any more
-    tidy = {"spark.cleaner.referenceTracking.cleanCheckpoints": "true"}
+    # checkpoint files are compressed, and go when nothing refers to them any more
+    tidy = {
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+        "spark.checkpoint.compress": "true",
+    }
     for key, value in {**DEFAULTS, **tidy, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
