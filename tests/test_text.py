@@ -123,3 +123,17 @@ def test_terms_read_the_whole_text(values):
     assert values(["filler " * 20000 + "python"], "string", terms.extract_terms) == [["python"]]
     cut = values(["x" * 10 + " python"], "string", lambda c: terms.extract_terms(text.cut(c, 10)))
     assert cut == [[]]
+
+
+def test_the_python_step_travels_without_this_package(tmp_path):
+    """Executors load the function although the package is not installed there."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    for udf in (text._respelled, text._unescaped_respelled):
+        (tmp_path / "f.pkl").write_bytes(cloudpickle.dumps(udf.func))
+        code = "import pickle, pandas as pd; f = pickle.load(open('f.pkl', 'rb')); print(f(pd.Series(['&eacute;'])).iloc[0])"
+        done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin", "PYTHONIOENCODING": "utf8"})
+        assert done.stdout.strip() == "é", done.stderr

@@ -48,7 +48,6 @@ _COMMON_ENTITIES = (
 _NOT_COMMON = "(?!(?:" + "|".join(e[1:-1] for e, _ in _COMMON_ENTITIES) + ");)[#a-zA-Z]"
 _OTHER_ENTITY = "&" + _NOT_COMMON
 _OTHER_ENTITY_TWICE = "&(?:amp;)?" + _NOT_COMMON
-_ENTITY = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[a-zA-Z][a-zA-Z0-9]{0,31};?)")
 
 
 def strip(c: Column) -> Column:
@@ -120,19 +119,28 @@ def slug_guesses(name: Column) -> Column:
 # --- markup -----------------------------------------------------------------
 
 
-def _respell(text: str) -> str:
-    """Every entity as its character, or as a common entity where markup needs one."""
-    return _ENTITY.sub(lambda found: html.escape(html.unescape(found.group(0))), text)
+def _respelling(unescape_first: bool):
+    """A pandas UDF: every entity as its character, or as a common entity where
+    markup needs one.
 
+    Built from closures, so that it travels whole and executors need not have
+    this package installed.
+    """
+    entity = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[a-zA-Z][a-zA-Z0-9]{0,31};?)")
+
+    def respell(text: str) -> str:
+        given = html.unescape(text) if unescape_first else text
+        return entity.sub(lambda found: html.escape(html.unescape(found.group(0))), given)
+
+    @F.pandas_udf(StringType())
+    def respelled(texts: pd.Series) -> pd.Series:
+        return texts.map(respell, na_action="ignore")
 
-@F.pandas_udf(StringType())
-def _respelled(texts: pd.Series) -> pd.Series:
-    return texts.map(_respell, na_action="ignore")
+    return respelled
 
 
-@F.pandas_udf(StringType())
-def _unescaped_respelled(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: _respell(html.unescape(t)), na_action="ignore")
+_respelled = _respelling(unescape_first=False)
+_unescaped_respelled = _respelling(unescape_first=True)
 
 
 def _usual_entities(c: Column, escaped: bool = False) -> Column:

@@ -274,8 +274,9 @@ def _markup_sql(html: str) -> str:
     hidden = "<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>"
     nodes = f"regexp_replace(regexp_replace({html}, '{hidden}', chr(1), 'gs'), '<[^>]*>', chr(1), 'g')"
     plain = nodes
-    for entity, char in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
-        plain = f"replace({plain}, '{entity}', '{char}')"
+    # some titles end inside an entity, which then lacks its semicolon
+    for entity, char in (("&quot", '"'), ("&copy", "©"), ("&middot", "·"), ("&lt", "<"), ("&gt", ">"), ("&amp", "&")):
+        plain = f"regexp_replace({plain}, '{entity};?', '{char}', 'g')"
     trimmed = f"list_transform(string_split({plain}, chr(1)), lambda n: trim(n, ' ' || chr(10) || chr(13) || chr(9)))"
     return f"coalesce(array_to_string(list_filter({trimmed}, lambda n: n <> ''), chr(10)), '')"
 
