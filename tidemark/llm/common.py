@@ -58,3 +58,16 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or the first variation of it that df has no column of."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def replaced(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
+    at = batch.schema.get_field_index(name)
+    return batch.set_column(at, pa.field(name, values.type), values)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import token_counts
+from tidemark.llm import line_dedup, near_dups, packing, quality_rules, token_counts
 from tidemark.llm.common import table
 
 
@@ -13,8 +14,115 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op4_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dups.groups(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", near_dups.hex_print("print").alias("fingerprint"), "component_id", "n_links")
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules.judge(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+OP7_SQL = r"""
+WITH docs AS (SELECT doc_id, source AS host, coalesce(text, '') AS text FROM documents),
+words AS (
+  SELECT doc_id, w, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i
+  FROM (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS i
+        FROM (SELECT doc_id, regexp_split_to_array(text, '[\x20\x09-\x0D]+') AS ws FROM docs)) WHERE w <> ''
+), sizes AS (
+  SELECT doc_id, count(*) AS n_words, sum(length(w)) AS word_chars FROM words GROUP BY doc_id
+), windows AS (
+  SELECT doc_id, i, concat_ws(' ', w, lead(w, 1) OVER p, lead(w, 2) OVER p, lead(w, 3) OVER p, lead(w, 4) OVER p) AS g,
+         lead(i, 4) OVER p AS last
+  FROM words WINDOW p AS (PARTITION BY doc_id ORDER BY i)
+), counted AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM windows WHERE last IS NOT NULL
+), repeated AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words
+  FROM (SELECT doc_id, i, unnest([0, 1, 2, 3, 4]) AS k FROM counted WHERE n > 1) GROUP BY doc_id
+), lines AS (
+  SELECT doc_id, host, line, lower(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS bare
+  FROM (SELECT doc_id, host, unnest(string_split(text, chr(10))) AS line FROM docs)
+), full_lines AS (
+  SELECT doc_id, host, line, substr(md5(bare), 1, 16) AS h, length(bare) AS n FROM lines WHERE bare <> ''
+), dups AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines, sum(n) AS line_chars FROM full_lines GROUP BY doc_id
+), distinct_lines AS (
+  SELECT DISTINCT doc_id, host, h FROM full_lines
+), contexts AS (
+  SELECT host, h, coalesce(CASE WHEN rank = 1 THEN lead(h) OVER p ELSE first_value(h) OVER p END, '') AS low,
+         coalesce(CASE WHEN rank = n THEN lag(h) OVER p
+                       ELSE last_value(h) OVER (p ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) END, '') AS high
+  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY h) AS rank, count(*) OVER (PARTITION BY doc_id) AS n
+        FROM distinct_lines)
+  WINDOW p AS (PARTITION BY doc_id ORDER BY h)
+), frequent AS (
+  SELECT host, h FROM (SELECT host, h, count(*) AS n FROM (SELECT DISTINCT host, h, low, high FROM contexts) GROUP BY host, h)
+  JOIN (SELECT host, count(*) AS host_docs FROM docs GROUP BY host) USING (host)
+  WHERE n >= {docs} AND n >= {share} * host_docs
+), lost AS (
+  SELECT doc_id, sum(n) AS removed_chars FROM full_lines SEMI JOIN frequent USING (host, h) GROUP BY doc_id
+), found AS (
+  SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+         coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+         coalesce(removed_chars, 0) > {depleted} * coalesce(line_chars, 0) AS depleted
+  FROM docs d LEFT JOIN sizes USING (doc_id) LEFT JOIN repeated USING (doc_id) LEFT JOIN dups USING (doc_id)
+  LEFT JOIN lost USING (doc_id)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT depleted AS kept
+FROM found
+""".format(docs=quality_rules.LINE_DOCS, share=quality_rules.LINE_SHARE, depleted=quality_rules.DEPLETED_SHARE)
+
+BYTE_BPE = (
+    public_tokenizers.path("byte_bpe_50k.json"),
+    public_tokenizers.path("byte_bpe_50k.tiktoken"),
+    public_tokenizers.PATTERN,
+)
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    text = F.coalesce("text", F.lit(""))
+    feeds = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
+    docs = docs.withColumn("n_lines", (feeds + 1).cast("bigint"))
+    cut = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs), dropped="n_dropped")
+    return cut.select("doc_id", "n_lines", "n_dropped", F.sha2(text, 256).alias("kept_sha256"))
+
+
+OP10_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, pos, line, regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', '') AS bare
+  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+               unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents)
+), keyed AS (
+  SELECT doc_id, pos, line, translate(bare, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines
+), common AS (
+  SELECT key FROM keyed WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10
+)
+SELECT doc_id, count(*) AS n_lines, count(c.key) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE c.key IS NULL), '')) AS kept_sha256
+FROM keyed k LEFT JOIN common c ON k.key = c.key GROUP BY doc_id
+"""
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op4_near_dups": op4_near_dups,
+    "op7_quality_rules": op7_quality_rules,
+    "op8_packing": op8_packing,
+    "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_quality_rules": OP7_SQL,
+    "op10_line_dedup": OP10_SQL,
+}
