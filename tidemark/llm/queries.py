@@ -6,7 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import line_dedup, near_dups, packing, quality_rules, token_counts
+from tidemark.llm import (
+    decontamination,
+    license_scan,
+    line_dedup,
+    near_dups,
+    packing,
+    quality_rules,
+    token_counts,
+    toxicity,
+    url_reputation,
+)
 from tidemark.llm.common import table
 
 
@@ -14,11 +24,27 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted", "n_restored")
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document and benchmark item it holds."""
+    found = decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "similarity", "start_word", "item_words")
+
+
 def op4_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dups.groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", near_dups.hex_print("print").alias("fingerprint"), "component_id", "n_links")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.judge(table(spark, sf_dir, "documents"))
     return found.select(
@@ -90,6 +116,91 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+#: (verdict, host, path)
+URL_RULES = (
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+)
+
+
+def page_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """host, bad of the pages whose document is labelled: a page's path ends in its document's number.
+
+    A page is bad if any label calls its document toxic or of low quality.
+    """
+    labels = table(spark, sf_dir, "labels").where("doc_id is not null")
+    bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)
+    labelled = labels.groupBy(F.col("doc_id").alias("labelled")).agg(F.max(bad).alias("bad"))
+    url = F.col("url")
+    number = F.regexp_extract(url_reputation.path_of(url), r"/([0-9]{1,18})(?:\.html)?/?$", 1)
+    pages = table(spark, sf_dir, "pages").select(
+        url_reputation.host_of(url).alias("host"), F.when(number != "", number).cast("bigint").alias("number")
+    )
+    return pages.join(labelled, F.col("number") == F.col("labelled")).select("host", "bad")
+
+
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = url_reputation.judge(table(spark, sf_dir, "pages"), page_outcomes(spark, sf_dir), URL_RULES)
+    return found.select("page_id", "host", "path", "rule", "verdict", F.round("bad_rate", 4).alias("bad_rate"))
+
+
+OP9_SQL = r"""
+WITH cut AS (
+  SELECT page_id, url, strpos(url, '://') AS k FROM pages
+), split AS (
+  SELECT page_id, CASE WHEN k > 0 THEN substr(url, k + 3) ELSE '' END AS rest FROM cut
+), parsed AS (
+  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM split
+), rules AS (
+  SELECT * FROM (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+                        ('allow', 'com', '/fr/'), ('block', 'com', '/de/')) AS r(says, of, start)
+), fits AS (
+  SELECT page_id, max_by(of || start, length(of || start)) AS rule, max_by(says, length(of || start)) AS says
+  FROM parsed JOIN rules ON (host = of OR ends_with(host, '.' || of)) AND starts_with(path, start) GROUP BY page_id
+), labelled AS (
+  SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id
+), seen AS (
+  SELECT host, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix,
+         count(*) AS n, sum(bad) AS bad
+  FROM parsed JOIN labelled ON try_cast(nullif(regexp_extract(path, '/([0-9]{1,18})(\.html)?/?$', 1), '') AS BIGINT) = doc_id
+  GROUP BY host
+), overall AS (
+  SELECT (coalesce(sum(bad), 0) + 1.0::DOUBLE) / (coalesce(sum(n), 0) + 2) AS rate FROM seen
+), s0 AS (
+  SELECT suffix, sum(n) AS n, sum(bad) AS bad, any_value(rate) AS c FROM seen, overall GROUP BY suffix
+), m0 AS (
+  SELECT (1 - share) / share AS m FROM (SELECT least(0.9, greatest(0.001, coalesce(
+    (sum(n * (bad / n - c) ** 2) - sum(c * (1 - c))) / nullif(sum((n - 1) * c * (1 - c)), 0), 0.001)))::DOUBLE AS share FROM s0)
+), r0 AS (SELECT suffix, (bad + m * c) / (n + m) AS rate FROM s0, m0),
+s1 AS (
+  SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad, any_value(rate) AS c FROM seen JOIN r0 USING (suffix) GROUP BY domain, suffix
+), m1 AS (
+  SELECT (1 - share) / share AS m FROM (SELECT least(0.9, greatest(0.001, coalesce(
+    (sum(n * (bad / n - c) ** 2) - sum(c * (1 - c))) / nullif(sum((n - 1) * c * (1 - c)), 0), 0.001)))::DOUBLE AS share FROM s1)
+), r1 AS (SELECT domain, (bad + m * c) / (n + m) AS rate FROM s1, m1),
+s2 AS (SELECT host, n, bad, rate AS c FROM seen JOIN r1 USING (domain)),
+m2 AS (
+  SELECT (1 - share) / share AS m FROM (SELECT least(0.9, greatest(0.001, coalesce(
+    (sum(n * (bad / n - c) ** 2) - sum(c * (1 - c))) / nullif(sum((n - 1) * c * (1 - c)), 0), 0.001)))::DOUBLE AS share FROM s2)
+), hosts AS (
+  SELECT h.host, coalesce(s.n, 0) AS n, coalesce(s.bad, 0) AS bad, coalesce(r1.rate, r0.rate, overall.rate) AS c
+  FROM (SELECT DISTINCT host FROM parsed) h CROSS JOIN overall LEFT JOIN seen s USING (host)
+  LEFT JOIN r0 ON r0.suffix = string_split(h.host, '.')[-1]
+  LEFT JOIN r1 ON r1.domain = array_to_string(string_split(h.host, '.')[-2:], '.')
+), posterior AS (
+  SELECT host, (bad + m * c) / (n + m) AS rate, n + m AS weight FROM hosts, m2
+)
+SELECT page_id, p.host, path, rule,
+       coalesce(says, CASE WHEN rate - 1.645 * sqrt(rate * (1 - rate) / (weight + 1)) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict,
+       round(rate, 4) AS bad_rate
+FROM parsed p JOIN posterior q ON p.host = q.host LEFT JOIN fits USING (page_id)
+"""
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     text = F.coalesce("text", F.lit(""))
@@ -116,13 +227,18 @@ FROM keyed k LEFT JOIN common c ON k.key = c.key GROUP BY doc_id
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_toxicity": op2_toxicity,
+    "op3_decontamination": op3_decontamination,
     "op4_near_dups": op4_near_dups,
+    "op5_license_scan": op5_license_scan,
     "op7_quality_rules": op7_quality_rules,
     "op8_packing": op8_packing,
+    "op9_url_filters": op9_url_filters,
     "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLES: dict[str, str] = {
     "op7_quality_rules": OP7_SQL,
+    "op9_url_filters": OP9_SQL,
     "op10_line_dedup": OP10_SQL,
 }
