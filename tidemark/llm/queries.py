@@ -13,6 +13,7 @@ from tidemark.llm import (
     near_dups,
     packing,
     quality_rules,
+    secret_scan,
     token_counts,
     toxicity,
     url_reputation,
@@ -45,6 +46,13 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates, with those kept that the forest takes for secrets; it learns from two thirds of the documents."""
+    found = secret_scan.labelled_by_format(secret_scan.findings(table(spark, sf_dir, "documents")))
+    model = secret_scan.train(found.where(~toxicity.held_out(F.col("doc_id"))))
+    return secret_scan.judged(found, model).drop("text_hash")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.judge(table(spark, sf_dir, "documents"))
     return found.select(
@@ -231,6 +239,7 @@ QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op4_near_dups": op4_near_dups,
     "op5_license_scan": op5_license_scan,
+    "op6_secret_scan": op6_secret_scan,
     "op7_quality_rules": op7_quality_rules,
     "op8_packing": op8_packing,
     "op9_url_filters": op9_url_filters,
