@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from tidemark import fixed_values as fv
-from tidemark.functions.arrays import let, null_if_empty
+from tidemark.functions.arrays import let, null_if_empty, one_of
 
 # Unicode white space, as str.split() sees it.  Java's \s is ASCII only.
 SPACE_CLASS = (
@@ -102,7 +102,8 @@ def cut(c: Column, max_chars: int) -> Column:
 
 def slug_guesses(name: Column) -> Column:
     """Likely board tokens of a company name: words joined, then hyphenated."""
-    base = F.regexp_replace(fold(name), "(?U)" + fv.LEGAL_SUFFIX_PATTERN, "")
+    # a legal form at the end, with a full stop behind it or not
+    base = F.regexp_replace(fold(name), rf"(?U)\b(?:{one_of(fv.LEGAL_SUFFIXES)})\.?$", "")
     words = F.split(F.regexp_replace(strip(base), "[^a-z0-9 ]", ""), " ")
 
     def join(found: Column) -> Column:

@@ -8,10 +8,12 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.fixed_values import AGGREGATORS
+from tidemark.functions.arrays import no_strings
 from tidemark.functions.geo import looks_canadian
 from tidemark.functions.terms import extract_terms
 from tidemark.functions.text import content_hash
-from tidemark.operators.scale import first_rows, first_seqs, ranked, small_enough
+from tidemark.operators.scale import first_rows, first_seqs, ranked
 from tidemark.session import pinned
 
 RAW_KEY = ("source_type", "source_url", "content_hash")
@@ -25,28 +27,42 @@ def with_hash(listings: DataFrame) -> DataFrame:
     )
 
 
-def first_of_run(listings: DataFrame, canada_only: bool = True) -> DataFrame:
-    """(fetch_seq, in_scope) of the first listing of every url in the run."""
+def _is_folded(folded: Sequence[str] | None) -> Column:
+    return F.lit(True) if folded is None else F.col("source_type").isin(*folded)
+
+
+def first_of_run(
+    listings: DataFrame, canada_only: bool = True, folded: Sequence[str] | None = AGGREGATORS
+) -> DataFrame:
+    """(source_type, fetch_seq, in_scope) of the listings that speak for themselves.
+
+    That is the first listing of every url of the folded sources (None: of all), and every listing of the others.
+    """
     in_scope = looks_canadian(F.col("location")) if canada_only else F.lit(True)
-    return first_rows(
-        listings.select("source_type", "source_url", "location", "fetch_seq"), ["source_url"], "fetch_seq"
-    ).withColumn("in_scope", in_scope)
+    narrow = listings.select("source_type", "source_url", "location", "fetch_seq")
+    mine = _is_folded(folded)
+    firsts = first_rows(narrow.where(mine), ["source_url"], "fetch_seq")
+    return firsts.unionByName(narrow.where(~mine)).withColumn("in_scope", in_scope)
 
 
-def assign_disposition(listings: DataFrame, canada_only: bool = True) -> DataFrame:
+def assign_disposition(
+    listings: DataFrame, canada_only: bool = True, folded: Sequence[str] | None = AGGREGATORS
+) -> DataFrame:
     """Adds disposition: 'duplicate', else 'filtered_location', else 'kept'.
 
-    The first listing of a url speaks for it whether or not it is kept, so a
-    later copy of a dropped url is a duplicate.  Joined on url and fetch_seq
-    together, so a url repeated any number of times stays spread out.
+    Only aggregators repeat a url within a run, once per search, so only their urls are folded (None: those
+    of all sources).  The first listing of a url speaks for it whether or not it is kept, so a later copy
+    of a dropped url is a duplicate.  Joined on url and fetch_seq together, so a url repeated any
+    number of times stays spread out.
     """
-    firsts = first_seqs(listings, ["source_url"], "fetch_seq").withColumn("is_first", F.lit(True))
+    mine = _is_folded(folded)
+    firsts = first_seqs(listings.where(mine), ["source_url"], "fetch_seq").withColumn("is_first", F.lit(True))
     in_scope = looks_canadian(F.col("location")) if canada_only else F.lit(True)
     return (
         listings.join(firsts, ["source_url", "fetch_seq"], "left")
         .withColumn(
             "disposition",
-            F.when(F.col("is_first").isNull(), "duplicate")
+            F.when(mine & F.col("is_first").isNull(), "duplicate")
             .when(~in_scope, "filtered_location")
             .otherwise("kept"),
         )
@@ -81,18 +97,22 @@ def run_counts(
             per_source = rows.groupBy("source_type").agg(F.count("*").alias(name))
             base = base.join(per_source, "source_type", "left").fillna(0, [name])
     if failed is not None:
-        # a token that fails many times is one entry; tokens are a configured list
-        tokens = failed.groupBy("source_type").agg(
-            F.sort_array(F.collect_set("source_name")).alias("failed_boards")
+        # a token that fails many times is one entry: distinct tokens are listed, and they are a configured list
+        tokens = failed.select("source_type", "source_name").distinct().groupBy("source_type").agg(
+            F.sort_array(F.collect_list("source_name")).alias("failed_boards")
+        )
+        base = base.join(tokens, "source_type", "full").fillna(0).withColumn(
+            "failed_boards", F.coalesce("failed_boards", no_strings())
         )
-        base = base.join(tokens, "source_type", "full").fillna(0)
     return base
 
 
-def fast_run_counts(listings: DataFrame, canada_only: bool = True) -> DataFrame:
+def fast_run_counts(
+    listings: DataFrame, canada_only: bool = True, folded: Sequence[str] | None = AGGREGATORS
+) -> DataFrame:
     """run_counts without labelling every row: two aggregates over narrow columns."""
     fetched = listings.groupBy("source_type").agg(F.count("*").alias("fetched"))
-    firsts = first_of_run(listings, canada_only)
+    firsts = first_of_run(listings, canada_only, folded)
     kept = firsts.groupBy("source_type").agg(
         F.count_if("in_scope").alias("kept"), F.count_if(~F.col("in_scope")).alias("filtered_location")
     )
@@ -105,23 +125,15 @@ def fast_run_counts(listings: DataFrame, canada_only: bool = True) -> DataFrame:
     )
 
 
-def insert_if_absent(
-    new: DataFrame, target: DataFrame, keys: Sequence[str], seq: str, measure: bool = False
-) -> DataFrame:
+def insert_if_absent(new: DataFrame, target: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
     """The rows of new to append: first of each key, and only keys target lacks.
 
-    Winners are found on keys and seq alone; whole rows move once, to be joined
-    with them.  measure=True counts the batch keys: if they are few, they are
-    broadcast to find the known ones, and the big target is read but never
-    shuffled.  Keys are unique on both sides of the anti join, and the last join
-    includes seq, so no hot key meets in one task.
+    Winners are found on keys and seq alone; whole rows move once, to be joined with them.  Keys are unique on
+    both sides of the anti join, and the last join includes seq, so no hot key meets in one task.
     """
     names = list(keys)
     firsts = first_seqs(new, names, seq)
-    known = target.select(*names)
-    if measure and small_enough(firsts):
-        known = known.join(F.broadcast(firsts.select(*names)), names, "left_semi")
-    fresh = firsts.join(known, names, "left_anti")
+    fresh = firsts.join(target.select(*names), names, "left_anti")
     return new.join(fresh, [*names, seq], "left_semi")
 
 
@@ -152,35 +164,69 @@ def landed_keys(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFram
         return spark.createDataFrame([], schema)
 
 
-def _append(kept: DataFrame, path: str, keys: Sequence[str], shape) -> int:
-    known = landed_keys(kept.sparkSession, path, keys)
-    # written aside first: the append must not read the table it grows
-    fresh = pinned(shape(insert_if_absent(kept, known, keys, "fetch_seq", measure=True)))
-    gained = fresh.count()
-    if gained:
+def _append(rows: DataFrame, keyed: DataFrame, path: str, keys: Sequence[str], shape) -> DataFrame:
+    """Append the rows whose keys the table at path lacks; (source_type, fetch_seq and keys) of what was added.
+
+    The keys to add are written aside first: the append must not read the table it grows, and texts are
+    read again for the rows that are written, not stored in between.
+    """
+    known = landed_keys(rows.sparkSession, path, keys)
+    narrow = keyed.select(*dict.fromkeys(["source_type", *keys, "fetch_seq"]))
+    fresh = pinned(insert_if_absent(narrow, known, keys, "fetch_seq"))
+    if not fresh.isEmpty():
+        wanted = rows.join(fresh.select("source_url", "fetch_seq"), ["source_url", "fetch_seq"], "left_semi")
         # rebalance merges small sources into few files and splits a hot one
-        fresh.hint("rebalance", "source_type").write.mode("append").partitionBy(
-            "source_type"
-        ).parquet(path)
-    return gained
+        shape(wanted).hint("rebalance", "source_type").write.mode("append").partitionBy("source_type").parquet(path)
+    return fresh
 
 
 def store(
-    kept: DataFrame, raw_path: str, postings_path: str | None, as_of: Column
-) -> dict[str, int]:
+    kept: DataFrame,
+    raw_path: str,
+    postings_path: str | None,
+    as_of: Column,
+    raw_only: Sequence[str] = AGGREGATORS,
+) -> tuple[DataFrame, DataFrame | None]:
     """Append kept listings to the raw table and, when a path is given, the postings table.
 
-    Both appends skip keys already there, so running a batch again adds nothing.
-    Returns how many rows each table gained.
+    Sources in raw_only reach the raw table only: an aggregator lists jobs that boards list too, under
+    urls of its own.  Both appends skip keys already there, so running a batch again adds nothing.
+    fetch_seq tells the listings of a run apart.  Returns the keys of the new raw rows and of the new
+    postings (None without a path), with their source_type.
     """
-    raw = pinned(with_hash(kept))  # normalised and hashed once for the steps below
-    gained = {"new_raw": _append(raw, raw_path, RAW_KEY, lambda rows: rows)}
-    if postings_path:
-        # terms are extracted from new postings only
-        gained["new_postings"] = _append(
-            raw, postings_path, POSTING_KEY, lambda rows: to_postings(rows, as_of)
-        )
-    return gained
+    raw = with_hash(kept)
+    keyed = pinned(raw.select("source_type", "source_url", "content_hash", "fetch_seq"))
+    new_raw = _append(raw, keyed, raw_path, RAW_KEY, lambda rows: rows)
+    if not postings_path:
+        return new_raw, None
+    both = ~F.col("source_type").isin(*raw_only) if raw_only else F.lit(True)
+    # terms are extracted from new postings only
+    new_postings = _append(
+        kept.where(both), keyed.where(both), postings_path, POSTING_KEY, lambda rows: to_postings(rows, as_of)
+    )
+    return new_raw, new_postings
+
+
+def ingest_run(
+    listings: DataFrame,
+    raw_path: str,
+    postings_path: str | None,
+    as_of: Column,
+    failed: DataFrame | None = None,
+    canada_only: bool = True,
+    raw_only: Sequence[str] = AGGREGATORS,
+) -> DataFrame:
+    """Store one run's complete listings and count them by the same dispositions.
+
+    Returns run_counts with new_raw, new_postings and, where failed bodies are given, failed_boards.
+    """
+    narrow = listings.select("source_type", "source_url", "location", "fetch_seq")
+    marked = pinned(assign_disposition(narrow, canada_only))
+    kept = marked.where(F.col("disposition") == "kept").select("source_url", "fetch_seq")
+    new_raw, new_postings = store(
+        listings.join(kept, ["source_url", "fetch_seq"], "left_semi"), raw_path, postings_path, as_of, raw_only
+    )
+    return run_counts(marked, new_raw, new_postings, failed)
 
 
 def content_versions(raw: DataFrame, keys: Sequence[str] = ("source_type", "external_id")) -> DataFrame:

@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 
 from tidemark.session import pinned
 
-BROADCAST_ROWS = 200_000
-
 
 def first_seqs(rows: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
     """keys and their smallest seq.  Partial aggregation absorbs hot keys."""
@@ -31,11 +29,6 @@ def first_rows(rows: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
     return rows.join(first_seqs(rows, keys, seq), [*keys, seq], "left_semi")
 
 
-def small_enough(rows: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Whether rows, narrow ones, are few enough to be broadcast: they are counted."""
-    return rows.count() <= limit
-
-
 def running_before(
     rows: DataFrame,
     keys: Sequence[str],

@@ -16,13 +16,13 @@ from tidemark.plans.bindings import (
     document_listings,
     labelled_ids,
     list_text,
+    pick,
     postings,
     sql_collapse,
     sql_pick,
     sql_places_cte,
     sql_segment_kind,
     table,
-    texts,
     ts_text,
 )
 from tidemark.plans.scratch import run_folder
@@ -40,39 +40,42 @@ def doc_hash(spark, sf_dir):
 
 
 def doc_collapsed(spark, sf_dir):
-    docs = texts(spark, sf_dir, "documents", "doc_id")
+    docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", F.md5(text.collapse_ws(F.col("text"))).alias("digest"))
 
 
 def docs_disposition(spark, sf_dir):
-    marked = ingest.assign_disposition(document_listings(spark, sf_dir))
+    marked = ingest.assign_disposition(document_listings(spark, sf_dir), folded=None)
     return marked.select("fetch_seq", "source_type", "disposition")
 
 
 def docs_run_counts(spark, sf_dir):
     listings = document_listings(spark, sf_dir)
-    counts = ingest.run_counts(ingest.assign_disposition(listings))
+    counts = ingest.run_counts(ingest.assign_disposition(listings, folded=None))
     return quality.counter_identity(counts)
 
 
 def docs_fast_counts(spark, sf_dir):
-    return ingest.fast_run_counts(document_listings(spark, sf_dir))
+    return ingest.fast_run_counts(document_listings(spark, sf_dir), folded=None)
 
 
 def _hashed(spark, sf_dir):
-    """(listings with their hash, the labelled ones among them as landed before), hashed once."""
-    new = pinned(ingest.with_hash(document_listings(spark, sf_dir)))
+    """(keys and hash of the listings, the labelled ones among them as landed before), hashed once."""
+    keys = ("source_type", "source_name", "source_url", "content_hash", "location", "fetch_seq")
+    new = pinned(ingest.with_hash(document_listings(spark, sf_dir)).select(*keys))
     return new, new.join(labelled_ids(spark, sf_dir), "fetch_seq", "left_semi")
 
 
 def docs_full_counts(spark, sf_dir):
-    """Counters of a run against what labelled documents have landed before."""
+    """Counters of a run against what labelled documents have landed before; every 50th body failed."""
     new, landed = _hashed(spark, sf_dir)
-    marked = ingest.assign_disposition(new)
+    marked = ingest.assign_disposition(new, folded=None)
     kept = marked.where(F.col("disposition") == "kept")
     new_raw = ingest.insert_if_absent(kept, landed, ingest.RAW_KEY, "fetch_seq")
     new_postings = ingest.insert_if_absent(kept, landed, ingest.POSTING_KEY, "fetch_seq")
-    return ingest.run_counts(marked, new_raw, new_postings)
+    failed = new.where(F.col("fetch_seq") % 50 == 0).select("source_type", F.concat("source_name", F.lit("-x")).alias("source_name"))
+    counts = ingest.run_counts(marked, new_raw, new_postings, failed)
+    return counts.withColumn("failed_boards", list_text(F.col("failed_boards")))
 
 
 def docs_new_raw(spark, sf_dir):
@@ -84,7 +87,7 @@ def docs_new_raw(spark, sf_dir):
 def docs_new_postings(spark, sf_dir):
     new = document_listings(spark, sf_dir)
     landed = new.join(labelled_ids(spark, sf_dir), "fetch_seq", "left_semi")
-    fresh = ingest.insert_if_absent(new, landed, ingest.POSTING_KEY, "fetch_seq", measure=True)
+    fresh = ingest.insert_if_absent(new, landed, ingest.POSTING_KEY, "fetch_seq")
     return fresh.select("fetch_seq", "source_url")
 
 
@@ -93,17 +96,39 @@ def docs_stored(spark, sf_dir):
     out = run_folder(spark, "docs_stored")
     kept = ingest.keep_in_scope(document_listings(spark, sf_dir))
     now = F.lit("2024-06-01 00:00:00").cast("timestamp")
-    first = ingest.store(kept, f"{out}/raw", f"{out}/postings", now)
-    second = ingest.store(kept, f"{out}/raw", f"{out}/postings", now)
-    added = F.lit(second["new_raw"] + second["new_postings"]).alias("second_run")
+    first, second = (
+        [keys.count() for keys in ingest.store(kept, f"{out}/raw", f"{out}/postings", now)] for _ in range(2)
+    )
+    added = F.lit(sum(second)).alias("second_run")
     written = [
         spark.read.parquet(f"{out}/{name}").agg(F.count("*").alias("n"), F.countDistinct("source_url").alias("urls"))
-        .select(F.lit(name).alias("table_name"), "n", "urls", F.lit(first[key]).cast("bigint").alias("gained"), added.cast("bigint"))
-        for name, key in (("raw", "new_raw"), ("postings", "new_postings"))
+        .select(F.lit(name).alias("table_name"), "n", "urls", F.lit(gained).cast("bigint").alias("gained"), added.cast("bigint"))
+        for name, gained in zip(("raw", "postings"), first, strict=True)
     ]
     return written[0].unionByName(written[1])
 
 
+SHOPS = ("greenhouse", "lever", "adzuna", "jooble")
+
+
+def store_counts(spark, sf_dir):
+    """A run of two boards and two aggregators, counted and stored by one rule; copies share a url.
+
+    Counters stand beside what the tables hold afterwards.
+    """
+    out = run_folder(spark, "store_counts")
+    listings = document_listings(spark, sf_dir).withColumn("source_type", pick(SHOPS, F.col("fetch_seq") % 4))
+    failed = listings.where(F.col("fetch_seq") % 50 == 0).select("source_type", "source_name")
+    now = F.lit("2024-06-01 00:00:00").cast("timestamp")
+    counts = ingest.ingest_run(listings, f"{out}/raw", f"{out}/postings", now, failed)
+    stored = [
+        spark.read.parquet(f"{out}/{name}").groupBy("source_type").agg(F.count("*").alias(f"stored_{name}"))
+        for name in ("raw", "postings")
+    ]
+    both = counts.join(stored[0], "source_type", "left").join(stored[1], "source_type", "left").fillna(0)
+    return both.withColumn("failed_boards", list_text(F.col("failed_boards")))
+
+
 def content_versions(spark, sf_dir):
     raw = ingest.with_hash(document_listings(spark, sf_dir))
     found = ingest.content_versions(raw, ["external_id"])
@@ -111,18 +136,18 @@ def content_versions(spark, sf_dir):
 
 
 def doc_terms(spark, sf_dir):
-    docs = texts(spark, sf_dir, "documents", "doc_id")
+    docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", list_text(terms.extract_terms(F.col("text"), VOCABULARY)).alias("terms"))
 
 
 def top_terms(spark, sf_dir):
-    docs = texts(spark, sf_dir, "documents", "doc_id").where(F.length("text") > 200)
+    docs = table(spark, sf_dir, "documents")
     found = docs.select("lang", F.explode(terms.extract_terms(F.col("text"), VOCABULARY)).alias("term"))
     return found.groupBy("lang", "term").agg(F.count("*").alias("n"))
 
 
 def base_terms(spark, sf_dir):
-    docs = texts(spark, sf_dir, "documents", "doc_id")
+    docs = table(spark, sf_dir, "documents")
     found = docs.select(F.explode(terms.extract_terms(F.col("text"))).alias("term"))
     return found.groupBy("term").agg(F.count("*").alias("n"))
 
@@ -176,7 +201,7 @@ def mixed_locations(spark, sf_dir):
 
 
 def page_text(spark, sf_dir):
-    pages = texts(spark, sf_dir, "pages", "page_id")
+    pages = table(spark, sf_dir, "pages")
     return pages.select("page_id", text.html_to_text(F.col("html")).alias("text"))
 
 
@@ -186,24 +211,24 @@ def page_escaped_text(spark, sf_dir):
         F.replace(F.replace("html", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")),
         F.lit(">"), F.lit("&gt;"),
     )
-    pages = texts(spark, sf_dir, "pages", "page_id").select("page_id", escaped.alias("html"))
+    pages = table(spark, sf_dir, "pages").select("page_id", escaped.alias("html"))
     return pages.select("page_id", text.html_to_text(F.col("html"), escaped=True).alias("text"))
 
 
 def page_title_inline(spark, sf_dir):
     title = text.element_markup(F.col("html"), "title")
     body = text.html_to_text(F.col("html"), inline=True)
-    pages = texts(spark, sf_dir, "pages", "page_id")
+    pages = table(spark, sf_dir, "pages")
     return pages.select("page_id", text.html_to_text(title, inline=True).alias("title"), body.alias("body"))
 
 
 def page_url_clean(spark, sf_dir):
-    pages = texts(spark, sf_dir, "pages", "page_id")
+    pages = table(spark, sf_dir, "pages")
     return pages.select("page_id", text.strip_query(F.col("url")).alias("url"))
 
 
 def page_main_text(spark, sf_dir):
-    pages = texts(spark, sf_dir, "pages", "page_id")
+    pages = table(spark, sf_dir, "pages")
     containers = (("main", "", ""), ("article", "", ""), *fv.CONTENT_CONTAINERS)
     return pages.select("page_id", text.main_content(F.col("html"), containers).alias("text"))
 
@@ -223,6 +248,7 @@ QUERIES = {
     "docs_new_raw": docs_new_raw,
     "docs_new_postings": docs_new_postings,
     "docs_stored": docs_stored,
+    "store_counts": store_counts,
     "content_versions": content_versions,
     "doc_terms": doc_terms,
     "top_terms": top_terms,
@@ -299,8 +325,25 @@ ORACLES = {
           count(*) FILTER (WHERE disposition = 'kept' AND NOT EXISTS (SELECT 1 FROM landed x WHERE
             x.source_type = v.source_type AND x.source_url = v.source_url AND x.content_hash = v.content_hash)) AS new_raw,
           count(*) FILTER (WHERE disposition = 'kept' AND NOT EXISTS (SELECT 1 FROM landed x WHERE
-            x.source_url = v.source_url)) AS new_postings
+            x.source_url = v.source_url)) AS new_postings,
+          coalesce(string_agg(DISTINCT source_name || '-x', ',' ORDER BY source_name || '-x')
+            FILTER (WHERE fetch_seq % 50 = 0), '') AS failed_boards
         FROM v GROUP BY source_type""",
+    "store_counts": f"""WITH {D_CTE}, {sql_places_cte('l')},
+        s AS (SELECT h.* EXCLUDE (source_type), {sql_pick(SHOPS, 'fetch_seq % 4')} AS source_type, fetch_seq % 4 < 2 AS board,
+                coalesce(places.canadian, true) AS canadian
+              FROM h LEFT JOIN places ON places.location IS NOT DISTINCT FROM h.location),
+        n AS (SELECT *, row_number() OVER (PARTITION BY board, source_url ORDER BY fetch_seq) AS nth FROM s),
+        v AS (SELECT *, CASE WHEN NOT board AND nth > 1 THEN 'duplicate' WHEN NOT canadian THEN 'filtered_location'
+                             ELSE 'kept' END AS disposition FROM n),
+        r AS (SELECT source_type, count(DISTINCT (source_url, content_hash)) AS raw FROM v WHERE disposition = 'kept' GROUP BY 1),
+        b AS (SELECT source_url, arg_min(source_type, fetch_seq) AS source_type FROM v WHERE disposition = 'kept' AND board GROUP BY 1),
+        p AS (SELECT source_type, count(*) AS postings FROM b GROUP BY 1),
+        c AS (SELECT {_COUNTS}, coalesce(string_agg(DISTINCT source_name, ',' ORDER BY source_name)
+                FILTER (WHERE fetch_seq % 50 = 0), '') AS failed_boards FROM v GROUP BY source_type)
+        SELECT c.*, coalesce(raw, 0) AS new_raw, coalesce(postings, 0) AS new_postings, coalesce(raw, 0) AS stored_raw,
+          coalesce(postings, 0) AS stored_postings
+        FROM c LEFT JOIN r USING (source_type) LEFT JOIN p USING (source_type)""",
     "docs_new_raw": f"""WITH {D_CTE}, {_LANDED}
         SELECT min(fetch_seq) AS fetch_seq, source_type, content_hash FROM h
         WHERE NOT EXISTS (SELECT 1 FROM landed x WHERE x.source_type = h.source_type
@@ -318,7 +361,7 @@ ORACLES = {
           row_number() OVER (PARTITION BY external_id ORDER BY t, content_hash) > 1 AS changed FROM x""",
     "doc_terms": f"""WITH {_terms_cte(VOCABULARY)} SELECT d.doc_id, coalesce(string_agg(term, ',' ORDER BY term), '') AS terms
         FROM documents d LEFT JOIN hit ON hit.doc_id = d.doc_id GROUP BY d.doc_id""",
-    "top_terms": f"WITH {_terms_cte(VOCABULARY, 'length(text) > 200')} SELECT lang, term, count(*) AS n FROM hit GROUP BY 1, 2",
+    "top_terms": f"WITH {_terms_cte(VOCABULARY)} SELECT lang, term, count(*) AS n FROM hit GROUP BY 1, 2",
     "base_terms": f"WITH {_terms_cte(terms.BASE_VOCABULARY)} SELECT term, count(*) AS n FROM hit GROUP BY 1",
     "long_descriptions": "SELECT lang, count(*) AS n FROM documents WHERE length(text) > 200 GROUP BY lang",
     "sample_pool": """SELECT CAST(doc_id AS VARCHAR) AS listing_id, 'prod_db' AS source, lang AS title, source AS company,

@@ -66,6 +66,12 @@ def eval_worst(spark, sf_dir):
     return _rounded(evaluate.worst(_scores(spark, sf_dir)).select("listing_id", "company", "title", "f1"), "f1")
 
 
+def eval_report(spark, sf_dir):
+    rows = evaluate.report_rows(_scores(spark, sf_dir))
+    lists = {c: list_text(F.col(c)) for c in ("wrong", "missed")}
+    return _rounded(rows.withColumns(lists), "precision", "recall", "f1", "share_verified")
+
+
 def label_summary(spark, sf_dir):
     """Labels as verification marks of the documents they cover, per language."""
     labels = table(spark, sf_dir, "labels")
@@ -135,7 +141,7 @@ def line_duplicates(spark, sf_dir):
 
 
 def label_orphans(spark, sf_dir):
-    """Events whose user is no customer key with orders."""
+    """Customer keys of orders that are no supplier's key."""
     return quality.orphans(table(spark, sf_dir, "orders"), table(spark, sf_dir, "supplier"), "o_custkey", "s_suppkey")
 
 
@@ -149,6 +155,7 @@ QUERIES = {
     "eval_rows": eval_rows,
     "eval_summary": eval_summary,
     "eval_worst": eval_worst,
+    "eval_report": eval_report,
     "label_summary": label_summary,
     "draft_labels": draft_labels,
     "review_routing": review_routing,
@@ -194,6 +201,14 @@ ORACLES = {
           round(n_human_verified / n, 6) AS verified_share FROM u""",
     "eval_worst": f"""WITH {_EV} SELECT CAST(id AS VARCHAR) AS listing_id, company, title, round(fs.f1, 6) AS f1
         FROM fs ORDER BY fs.f1, id LIMIT 15""",
+    "eval_report": f"""WITH {_EV}, t AS (SELECT count(*) AS n, count(*) FILTER (WHERE ng > 6) / count(*) AS v,
+          sum(tp) / sum(np) AS p, sum(tp) / sum(ng) AS r, avg(precision) AS mp, avg(recall) AS mr, avg(f1) AS mf FROM fs),
+        ww AS (SELECT *, row_number() OVER (ORDER BY f1, id) AS place FROM fs)
+        SELECT 'micro' AS part, 0 AS place, n || ' listings' AS subject, round(p, 6) AS precision, round(r, 6) AS recall,
+          round(2 * p * r / (p + r), 6) AS f1, round(v, 6) AS share_verified, NULL AS wrong, NULL AS missed FROM t
+        UNION ALL SELECT 'macro', 0, n || ' listings', round(mp, 6), round(mr, 6), round(mf, 6), round(v, 6), NULL, NULL FROM t
+        UNION ALL SELECT 'poorest', place, company || ': ' || title, round(precision, 6), round(recall, 6), round(f1, 6), NULL,
+          coalesce(array_to_string(fp, ','), ''), coalesce(array_to_string(fn, ','), '') FROM ww WHERE place <= 15""",
     "label_summary": """SELECT lang, count(*) AS n, count(*) FILTER (WHERE quality = 1) AS n_verified,
         round(count(*) FILTER (WHERE quality = 1) / count(*), 6) AS share
         FROM labels JOIN documents ON labels.doc_id = documents.doc_id GROUP BY lang""",

@@ -48,7 +48,7 @@ def skill_table(spark):
 
 def spelled(c):
     """A word the way a careless writer puts it."""
-    return F.concat(F.lit(" "), F.upper(F.substring(c, 1, 1)), F.substring(c, 2, 20), F.lit("-.\t"))
+    return F.concat(F.lit(" "), F.upper(F.substring(c, 1, 1)), F.substr(c, F.lit(2)), F.lit("-.\t"))
 
 
 def raw_skills(spark, sf_dir):
@@ -71,6 +71,33 @@ def _normalized(run):
     return query
 
 
+def skills_normalized_joined(spark, sf_dir):
+    """The same from mentions, grouped by the caller."""
+    said = raw_skills(spark, sf_dir)
+    found = taxonomy.resolve_mentions(mentions(spark, sf_dir), dimensions.lookup_terms(skill_table(spark)))
+    lists = found.groupBy("id").agg(
+        F.sort_array(F.collect_set("skill_id")).alias("mapped"),
+        F.sort_array(F.collect_set(F.when(F.col("skill_id").isNull(), F.col("folded")))).alias("unmapped"),
+    )
+    return said.select("id").join(lists, "id", "left").select(
+        "id", *[F.coalesce(list_text(F.col(c)), F.lit("")).alias(c) for c in ("mapped", "unmapped")]
+    )
+
+
+def skills_large_taxonomy(spark, sf_dir):
+    """Parts sold, resolved against a taxonomy of all customers' and suppliers' names."""
+    named = [
+        table(spark, sf_dir, t).select(F.lower(n).alias("id"), F.lit(t).alias("category"), F.array(F.upper(n)).alias("aliases"))
+        for t, n in (("customer", "c_name"), ("supplier", "s_name"))
+    ]
+    said = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("id"),
+        F.array(F.concat(F.lit(" "), F.replace("c_name", F.lit("#"), F.lit("# - "))), F.col("c_mktsegment"), F.lit(" ")).alias("raw_skills"),
+    )
+    found = taxonomy.normalize_skills(said, dimensions.lookup_terms(named[0].unionByName(named[1])), "id")
+    return found.select("id", list_text(F.col("mapped")).alias("mapped"), list_text(F.col("unmapped")).alias("unmapped"))
+
+
 def mentions_resolved(spark, sf_dir):
     lookup = dimensions.lookup_terms(skill_table(spark))
     found = taxonomy.resolve_mentions(mentions(spark, sf_dir), lookup)
@@ -172,9 +199,12 @@ def _boards(spark, sf_dir):
     listings = discovery_listings(spark, sf_dir)
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("fetch_seq"), "o_custkey")
     customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
-    placed = listings.join(orders, "fetch_seq").join(customers, "o_custkey").where("c_nationkey < 20")
+    placed = listings.join(orders, "fetch_seq").join(customers, "o_custkey")
     words = F.split(F.regexp_replace(F.lower("company"), " (?:inc|ltd|corp)\\.?$", ""), " ")
-    token = F.when(F.col("c_nationkey") < 12, F.array_join(words, "")).otherwise(F.array_join(words, "-"))
+    hyphened = F.array_join(words, "-")
+    # the last nations' boards have tokens nobody would guess
+    token = F.when(F.col("c_nationkey") < 12, F.array_join(words, "")).when(F.col("c_nationkey") < 20, hyphened)
+    token = token.otherwise(F.concat(F.lit("office-"), hyphened))
     return placed.select(
         pick(fv.BOARDS, F.col("o_custkey") % 3).alias("source_type"), token.alias("source_name"), "location"
     )
@@ -200,7 +230,7 @@ def probe_summary(spark, sf_dir):
 
 
 def suggestion_blocks(spark, sf_dir):
-    return queues.render_suggestions(_probed(spark, sf_dir))
+    return queues.suggestions(_probed(spark, sf_dir))
 
 
 def queue_reprobe(spark, sf_dir):
@@ -212,7 +242,8 @@ def queue_reprobe(spark, sf_dir):
 
 QUERIES = {
     "skills_normalized": _normalized(taxonomy.normalize_skills),
-    "skills_normalized_joined": _normalized(taxonomy._normalize_joined),
+    "skills_normalized_joined": skills_normalized_joined,
+    "skills_large_taxonomy": skills_large_taxonomy,
     "mentions_resolved": mentions_resolved,
     "taxonomy_coverage": taxonomy_coverage,
     "category_counts": category_counts,
@@ -257,18 +288,20 @@ cq AS (SELECT d.c_custkey, lower(company) AS company_key, company AS company_nam
        WHERE NOT {_BLOCKED} AND c_mktsegment <> 'BUILDING' GROUP BY ALL)"""
 _B = f"""{_C}, {sql_places_cte('d')},
 b AS (SELECT (['greenhouse', 'lever', 'ashby'])[d.c_custkey % 3 + 1] AS board, d.c_custkey,
+        c_nationkey < 20 AS guessed, CASE WHEN c_nationkey < 20 THEN '' ELSE 'office-' END ||
         replace(regexp_replace(lower(company), ' (inc|ltd|corp)\\.?$', ''), ' ', CASE WHEN c_nationkey < 12 THEN '' ELSE '-' END) AS token,
         count(*) AS board_jobs, count(*) FILTER (WHERE coalesce(canadian, true)) AS ca_jobs
       FROM d JOIN customer c ON c.c_custkey = d.c_custkey
       LEFT JOIN places ON places.location IS NOT DISTINCT FROM d.location
-      WHERE c_nationkey < 20 GROUP BY ALL),
+      GROUP BY ALL),
 pr AS (SELECT company_key, company_name, occurrences, board, token AS board_token, board_jobs, ca_jobs,
         CASE WHEN board IS NULL THEN 'no_board' WHEN ca_jobs > 0 THEN 'board_found' ELSE 'no_ca_roles' END AS status
-       FROM cq LEFT JOIN b ON b.c_custkey = cq.c_custkey)"""
+       FROM cq LEFT JOIN b ON b.c_custkey = cq.c_custkey AND guessed)"""
 
 ORACLES = {
     "skills_normalized": _NORMALIZED,
     "skills_normalized_joined": _NORMALIZED,
+    "skills_large_taxonomy": "SELECT c_custkey AS id, lower(c_name) AS mapped, lower(c_mktsegment) AS unmapped FROM customer",
     "mentions_resolved": f"WITH {_S} SELECT folded, skill_id, count(*) AS n FROM r GROUP BY 1, 2",
     "taxonomy_coverage": f"""WITH {_S} SELECT count(*) AS mentions, count(skill_id) AS resolved,
         round(count(skill_id) / count(*), 6) AS coverage FROM r""",
@@ -291,10 +324,8 @@ ORACLES = {
         '{NOW}' AS probed_at FROM pr""",
     "probe_summary": f"""WITH {_B} SELECT count(*) AS probed, count(*) FILTER (WHERE status = 'board_found') AS board_found,
         count(*) FILTER (WHERE status = 'no_ca_roles') AS no_ca_roles, count(*) FILTER (WHERE status = 'no_board') AS no_board FROM pr""",
-    "suggestion_blocks": f"""WITH {_B} SELECT company_key, '  - name: "' || company_name || '"' || chr(10)
-        || '    hq: "TODO — verify"' || chr(10) || '    board: ' || board || chr(10) || '    token: ' || board_token || chr(10)
-        || '    # discovered via aggregators: seen ' || occurrences || 'x; board has ' || ca_jobs || '/' || board_jobs
-        || ' Canadian roles at probe time — VERIFY this is the right company' AS block FROM pr WHERE status = 'board_found'""",
+    "suggestion_blocks": f"""WITH {_B} SELECT company_key, company_name, board, board_token, occurrences AS mentions, board_jobs,
+        ca_jobs, round(ca_jobs / board_jobs, 4) AS ca_share FROM pr WHERE status = 'board_found'""",
     "queue_reprobe": f"""WITH {_B} SELECT company_key, CASE WHEN status = 'board_found' THEN 'pending' ELSE status END AS status,
         status <> 'board_found' AS probed FROM pr""",
 }

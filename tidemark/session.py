@@ -32,9 +32,10 @@ def build_session(app_name: str = "tidemark", master: str | None = None, **conf:
 
 
 def apply_defaults(spark: SparkSession) -> SparkSession:
-    """Set the settings results depend on in a session somebody else built."""
+    """Give a session somebody else built the settings results depend on, where it has none of its own."""
     for key, value in DEFAULTS.items():
-        spark.conf.set(key, value)
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
     return spark
 
 
@@ -56,13 +57,3 @@ def pinned(df: DataFrame) -> DataFrame:
     and a lost executor costs a re-read, not a re-run."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def spread(rows: DataFrame, key: str) -> DataFrame:
-    """rows over all cores, when a few small files would leave most of them idle.
-
-    Meant in front of work that is heavy per row.  A table with as many splits
-    as there are cores is returned as it is, so nothing is shuffled at scale.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, key)
