@@ -208,7 +208,7 @@ class TokenCounter:
         if len(self.memo) > MEMO_ENTRIES:
             self.memo = {}
         memo = self.memo
-        fresh = list(set().union(*parts) - memo.keys())
+        fresh = [w for w in set().union(*parts) if w not in memo]
         lengthy = []
         if fresh:
             lead = [w if w[0] == "\n" and self.lines_apart else SPACE + w for w in fresh]
