@@ -25,7 +25,7 @@ from tidemark.llm.common import column, pieces, texts_of
 
 SPACE = "▁"
 #: entries of a task's memo of pre-token counts before it starts afresh; a memo, not a bound on the data
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 1_200_000
 MEMO_CHARS = 48
 NO_RANK = np.iinfo(np.int32).max
 
