@@ -64,3 +64,13 @@ def test_percent_and_prf(spark):
     got = df.select(money.percent(F.col("x"), F.col("y")).alias("pct"), marks["precision"], marks["recall"], marks["f1"]).collect()
     assert [r[0] for r in got] == [33.3, 12.5, 0.0, 0.2, 50.0]
     assert [tuple(r)[1:] for r in got] == [(1, 1, 1), (1, 1, 1), (0, 0, 0), (0.5, 0.5, 0.5), (0, 0, 0)]
+
+
+def test_looks_canadian_in_sql(spark):
+    from tidemark.functions import sql
+
+    sql.register(spark)
+    spark.createDataFrame([(x,) for x in (*KEEP, *DROP)], "v string").createOrReplaceTempView("places_to_grade")
+    got = spark.sql("SELECT v, looks_canadian(v) AS said FROM places_to_grade")
+    assert got.where(F.col("said") != geo.looks_canadian(F.col("v"))).count() == 0
+    assert got.where("said").count() == len(KEEP)

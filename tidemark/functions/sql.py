@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from tidemark import fixed_values as fv
+from tidemark.functions import geo
 from tidemark.functions.text import SPACE_CHARS, SPACE_CLASS
 
 
@@ -25,6 +26,23 @@ def _collapsed(c: str) -> str:
     return f"btrim(regexp_replace({c}, {_SPACES}, ' '), ' ')"
 
 
+def _kind(segment: str) -> str:
+    """geo.segment_kind of a lower-case SQL expression."""
+    def matches(pattern: str) -> str:
+        return f"{segment} RLIKE {_text(pattern)}"
+
+    rest = f"regexp_replace({segment}, {_text(geo._ARRANGEMENT)}, ' ')"
+    canadian = " OR ".join(map(matches, (geo._CANADA, geo._PROVINCE_CODE, geo._INCLUSIVE)))
+    foreign = " OR ".join(map(matches, (geo._FOREIGN, geo._US, geo._STATE_CODE)))
+    return (
+        f"CASE WHEN {canadian} THEN 'ca' WHEN {foreign} THEN 'foreign' WHEN {matches(geo._CITY)} THEN 'ca'"
+        f" WHEN NOT {rest} RLIKE '[a-z]' THEN 'arrangement' WHEN {matches(geo._ARRANGEMENT)} THEN 'foreign' ELSE 'unknown' END"
+    )
+
+
+_SEGMENTS = f"filter(split(location, '[|;]'), s -> btrim(s, {_text(SPACE_CHARS)}) <> '')"
+_KINDS = f"transform(transform({_SEGMENTS}, s -> lower(s)), s -> {_kind('s')})"
+
 # name -> (parameters, result type, body)
 FUNCTIONS = {
     "strip_ws": ("c STRING", "STRING", f"btrim(c, {_text(SPACE_CHARS)})"),
@@ -59,6 +77,18 @@ FUNCTIONS = {
         f" * CAST(CASE period {_TIMES} END AS DECIMAL(5,0))"
         f" * CAST(CASE upper(currency) {_RATES} END AS DECIMAL(5,2)), 2) AS DECIMAL(20,2))",
     ),
+    "looks_canadian": (
+        "location STRING",
+        "BOOLEAN",
+        f"coalesce(transform(array({_KINDS}), k -> array_contains(k, 'ca') OR NOT (array_contains(k, 'foreign')"
+        " OR (array_contains(k, 'arrangement') AND array_contains(k, 'unknown'))))[0], true)",
+    ),
+    "price_call": (
+        "in_tokens BIGINT, out_tokens BIGINT, in_rate DECIMAL(10,4), out_rate DECIMAL(10,4), batch BOOLEAN",
+        "DECIMAL(24,12)",
+        "CAST((CAST(in_tokens AS DECIMAL(14,0)) * in_rate + CAST(out_tokens AS DECIMAL(14,0)) * out_rate) * 0.000001BD"
+        " * CASE WHEN batch THEN 0.5BD ELSE 1.0BD END AS DECIMAL(24,12))",
+    ),
     "week_of": ("ts TIMESTAMP", "DATE", "to_date(date_trunc('week', ts))"),
 }
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import sql, terms
 from tidemark.functions.text import long_id, strip_query
 from tidemark.operators import ingest, search, trends
-from tidemark.plans.bindings import P_CTE, clock, list_text, postings, ts_text
+from tidemark.plans.bindings import P_CTE, clock, list_text, postings, sql_places_cte, ts_text
 
 NAMED = ("red", "widget", "absent", "bolt")
 
@@ -166,7 +166,9 @@ def sql_functions(spark, sf_dir):
                   strip_query(concat(source_url, '?a=1')) AS url, collapse_ws(concat(' ', title, '\n x ')) AS title,
                   date_format(parse_ts(date_format(date_scraped, "yyyy-MM-dd'T'HH:mm:ss-01:00")), 'yyyy-MM-dd HH:mm:ss') AS parsed,
                   CAST(CAST(cad_annual_estimate(pay, NULL, 'usd', 'hour') AS DECIMAL(18,6)) AS STRING) AS estimate,
-                  date_format(week_of(date_scraped), 'yyyy-MM-dd') AS week, strip_ws(concat('\t', source_type)) AS source
+                  date_format(week_of(date_scraped), 'yyyy-MM-dd') AS week, strip_ws(concat('\t', source_type)) AS source,
+                  looks_canadian(location) AS canadian,
+                  CAST(price_call(id, 1000, 3, 15, id % 2 = 0) AS STRING) AS price
            FROM {postings}""",
         postings=postings(spark, sf_dir, skills=False),
     )
@@ -223,12 +225,15 @@ ORACLES = {
         (SELECT strftime(t, '%Y-%m-%d %H:%M:%S') FROM now_p) AS date_scraped FROM p""",
     "posting_inserted": """SELECT o_orderpriority AS title, count(*) AS n FROM orders GROUP BY 1
         UNION ALL SELECT 'new', 1""",
-    "sql_functions": f"""WITH {P_CTE} SELECT id, sha256(lower(title) || chr(31) || lower(company) || chr(31)
+    "sql_functions": f"""WITH {P_CTE}, {sql_places_cte('p')} SELECT id, sha256(lower(title) || chr(31) || lower(company) || chr(31)
           || lower(coalesce(location, '')) || chr(31) || 'x') AS digest,
         replace(lower(company), '#', '#') AS key, CAST(id + 1000000 AS VARCHAR) AS ident, source_url AS url, title || ' x' AS title,
         strftime(date_scraped + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS parsed,
         CAST(CAST(round_even(CAST(pay AS DECIMAL(18,2)) * 2080 * CAST(1.37 AS DECIMAL(5,2)), 2) AS DECIMAL(18,6)) AS VARCHAR) AS estimate,
-        strftime(date_trunc('week', date_scraped), '%Y-%m-%d') AS week, source_type AS source FROM p""",
+        strftime(date_trunc('week', date_scraped), '%Y-%m-%d') AS week, source_type AS source, coalesce(canadian, true) AS canadian,
+        CAST(CAST((CAST(id AS DECIMAL(14,0)) * 3 + 15000) * CASE WHEN id % 2 = 0 THEN 5 ELSE 10 END AS DECIMAL(20,12))
+          * CAST(0.0000001 AS DECIMAL(8,7)) AS DECIMAL(24,12))::VARCHAR AS price
+        FROM p LEFT JOIN (SELECT location AS place, canadian FROM places) ON place IS NOT DISTINCT FROM location""",
     "total_jobs": "SELECT count(*) AS total_jobs FROM orders",
     "top_skills": f"{_M} SELECT skill, count(*) AS n FROM m GROUP BY skill ORDER BY n DESC, skill LIMIT 20",
     "top_roles": """SELECT o_orderpriority AS title, count(*) AS n FROM orders
