@@ -153,7 +153,7 @@ def posting_inserted(spark, sf_dir):
         F.struct(F.col("url").alias("source_url"), F.lit("again").alias("title"), (F.col("seq") + 1).alias("fetch_seq")),
         F.struct(F.concat("url", F.lit("-new")).alias("source_url"), F.lit("new").alias("title"), (F.col("seq") + 2).alias("fetch_seq")),
     ))
-    added = ingest.insert_if_absent(newest.select(rows), p, ingest.POSTING_KEY, "fetch_seq", measure=True)
+    added = ingest.insert_if_absent(newest.select(rows), p, ingest.POSTING_KEY, "fetch_seq")
     return p.unionByName(added).groupBy("title").agg(F.count("*").alias("n"))
 
 
