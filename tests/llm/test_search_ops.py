@@ -98,6 +98,26 @@ def test_planted_leaks(spark):
     assert sorted(r.doc_id for r in left.collect()) == [100, 102, 103] and left.columns == clashing(docs).columns
 
 
+def test_edited_leaks(spark):
+    """Whatever a plain search over all places finds at 0.8 is found, wherever the edits are."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(3))
+    items = [(i, " ".join(word() for _ in range(rng.randint(13, 120)))) for i in range(25)]
+    rows = []
+    for d in range(250):
+        own = items[d % 25][1].split()
+        for _ in range(rng.randint(0, 3)):
+            at = rng.choice([0, 1, -1, -2, rng.randrange(len(own))])
+            own[at] = word()
+        rows.append((d, " ".join([word() for _ in range(rng.randint(0, 30))] + own + [word() for _ in range(20)]), "en", "a", None))
+    docs, bench = spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, ITEMS)
+    want = plain_leaks(docs.collect(), bench.collect())
+    found = {(r.doc_id, r.item_id): r.similarity for r in decontamination.contaminated(docs, bench).collect()}
+    assert want.keys() <= found.keys() and all(found[k] >= v - 1e-9 for k, v in want.items())
+    assert sum(v < 1 for v in want.values()) > 60 and len(found) <= len(want) * 1.1
+    assert [decontamination.parts_needed(m, 0.8) for m in (8, 9, 17, 18, 55, 63, 96, 396)] == [1, 2, 2, 3, 3, 4, 4, 11]
+
+
 def test_window_prints():
     hashes, first = decontamination.word_hashes(["The cat, sat.", "", "cat THE", "é x"])
     assert first.tolist() == [0, 3, 3, 5, 7] and hashes[0] == hashes[4] and hashes[1] == hashes[3]

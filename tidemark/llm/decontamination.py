@@ -5,10 +5,15 @@ filed with its first and its last window of the largest ladder size that fits it
 slide: bit counts are differences of running sums, so a window costs the same whatever its size.
 
 Fingerprints within RADIUS = 3 of 64 bits agree in one of four blocks of 16 bits, so all of them are found
-through four equality keys.  Tasks drop windows none of whose blocks occurs among the items of that
-size; a block table has 65,536 bits, however many items there are.  What passes is joined to the
-items on the block, and pairs within the radius are verified: the item against the words in that
-place, by weighted Jaccard similarity of five-word shingles, a shingle weighing as often as it occurs.
+through four equality keys.  An edited passage may still be similar enough while its fingerprint is further
+off: an item is also cut into as many parts as such edits cannot all reach, and each part is filed with a
+window of its own under its whole fingerprint, which an untouched part shares.
+
+Tasks drop windows whose blocks and fingerprints do not occur among the items' of that size, by bit
+tables whose size does not depend on the number of items.  What passes is joined to the items, and pairs
+within the radius are verified: the item against the words in that place (as many as it has, one more or one
+less, from there or a word beside), by weighted Jaccard similarity of five-word shingles, a shingle
+weighing as often as it occurs.
 
 Words are runs of letters, digits and other non-ASCII characters, A-Z lower-cased, so case, punctuation
 and line breaks do not hide a passage.  Items shorter than a shingle are one shingle.
@@ -30,6 +35,10 @@ SHINGLE = 5
 SIMILARITY = 0.8
 RADIUS = 3
 BLOCKS, BLOCK_BITS = 4, 16
+#: number of the table for whole fingerprints, after the blocks', and how many leading bits it holds
+WHOLE, VALUE_BITS = BLOCKS, 20
+TABLES = BLOCKS + 1
+BUCKET_BITS = 32_768  # of the bitmap functions
 LARGEST = 30_000  # words of the largest window; longer items are filed with windows of this size
 #: bytes of text, and words, hashed at once
 BYTES_AT_ONCE, WORDS_AT_ONCE = 1 << 20, 1 << 14
@@ -146,12 +155,31 @@ def blocks_of(prints: np.ndarray) -> list[np.ndarray]:
     return [parts[:, b] for b in range(BLOCKS)]
 
 
-def key_of(size: int, block: int, values: np.ndarray) -> np.ndarray:
-    return (size * BLOCKS + block) << BLOCK_BITS | values.astype(np.int64)
+def values_of(prints: np.ndarray, tables: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """(table, value) of each fingerprint in each of the tables."""
+    if any(t < BLOCKS for t in tables):
+        blocks = blocks_of(prints)
+        yield from ((t, blocks[t]) for t in tables if t < BLOCKS)
+    if WHOLE in tables:
+        yield WHOLE, (prints >> U(64 - VALUE_BITS)).astype(np.int64)
+
+
+def key_of(size: int, table: int, values: np.ndarray) -> np.ndarray:
+    return (size * TABLES + table) << VALUE_BITS | values.astype(np.int64)
+
 
+def parts_needed(shingles: int, least: float) -> int:
+    """Parts of an item that edits cannot all reach while the similarity stays at least `least`.
 
-def filed_items(benchmark: DataFrame) -> DataFrame:
-    """key, print, item_id, anchor, n, hashes: each item's first and last window under each of its blocks."""
+    Edits may take away at most k shingles.  One at either end takes one; any other that reaches another
+    part takes SHINGLE.
+    """
+    k = int(shingles * (1 - least) / (1 + least) + 1e-9)
+    return min(k, 2) + 1 + max(0, k - 2) // SHINGLE
+
+
+def filed_items(benchmark: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """key, print, item_id, anchor, n, hashes of the windows each item is filed with."""
     sizes = np.array(ladder())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,10 +193,15 @@ def filed_items(benchmark: DataFrame) -> DataFrame:
                     continue
                 size = int(sizes[np.searchsorted(sizes, n, side="right") - 1])
                 hashes = shingle_hashes(own, width_of(n)).view(np.int64)
-                for anchor in sorted({0, n - size}):
+                windows = [(size, a, list(range(BLOCKS))) for a in sorted({0, n - size})]
+                parts = parts_needed(len(hashes), least)
+                if parts > 1:
+                    share = int(sizes[np.searchsorted(sizes, n // parts, side="right") - 1])
+                    windows += [(share, n * k // parts, [WHOLE]) for k in range(parts)]
+                for size, anchor, tables in windows:
                     (_, _, prints) = next(window_prints(own[anchor : anchor + size], [size]))
-                    for b, values in enumerate(blocks_of(prints)):
-                        rows.append((i, int(key_of(size, b, values)[0]), int(prints.view(np.int64)[0]), anchor, n, hashes))
+                    for t, values in values_of(prints, tables):
+                        rows.append((i, int(key_of(size, t, values)[0]), int(prints.view(np.int64)[0]), anchor, n, hashes))
             names = ["key", "print", "item_id", "anchor", "n", "hashes"]
             if rows:
                 at = pa.array([r[0] for r in rows], pa.int32())
@@ -188,30 +221,31 @@ def filed_items(benchmark: DataFrame) -> DataFrame:
     return items.mapInArrow(run, "key bigint, print bigint, item_id bigint, anchor int, n int, hashes array<bigint>")
 
 
-def block_tables(filed: DataFrame) -> dict[int, list[bytes]]:
-    """Per window size, for each block a bit per value that occurs: at most 8 KB a block and 50 sizes."""
-    value = F.col("key").bitwiseAND((1 << BLOCK_BITS) - 1) + 1
-    table = F.shiftright("key", BLOCK_BITS)
-    rows = filed.groupBy(table.alias("table"), F.bitmap_bucket_number(value).alias("half")).agg(
+def bit_tables(filed: DataFrame) -> dict[int, dict[int, bytes]]:
+    """Per window size and table a bit per value that occurs: 8 KB a block and 128 KB for whole prints, 55 sizes at most."""
+    value = F.col("key").bitwiseAND((1 << VALUE_BITS) - 1) + 1
+    table = F.shiftright("key", VALUE_BITS)
+    rows = filed.groupBy(table.alias("table"), F.bitmap_bucket_number(value).alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position(value)).alias("bits")
     )
-    empty = bytes(1 << BLOCK_BITS - 4)
-    found: dict[int, list[list[bytes]]] = {}
+    found: dict[int, dict[int, list[bytes]]] = {}
     for r in rows.collect():
-        size, block = divmod(r["table"], BLOCKS)
-        found.setdefault(size, [[empty, empty] for _ in range(BLOCKS)])[block][r["half"] - 1] = bytes(r["bits"])
-    return {size: [b"".join(halves) for halves in blocks] for size, blocks in found.items()}
+        size, table = divmod(r["table"], TABLES)
+        buckets = (1 << (VALUE_BITS if table == WHOLE else BLOCK_BITS)) // BUCKET_BITS
+        empty = bytes(BUCKET_BITS // 8)
+        found.setdefault(size, {}).setdefault(table, [empty] * buckets)[r["bucket"] - 1] = bytes(r["bits"])
+    return {size: {t: b"".join(buckets) for t, buckets in tables.items()} for size, tables in found.items()}
 
 
-def asked_windows(docs: DataFrame, tables: dict[int, list[bytes]]) -> DataFrame:
-    """key, print, doc_id, text_hash, start of every window that shares a block with an item of its size."""
+def asked_windows(docs: DataFrame, tables: dict[int, dict[int, bytes]]) -> DataFrame:
+    """key, print, doc_id, text_hash, start of every window that shares a value with an item's of its size."""
     sizes = sorted(tables)
     shared = docs.sparkSession.sparkContext.broadcast(tables)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = {
-            s: [np.unpackbits(np.frombuffer(b, np.uint8), bitorder="little").astype(bool) for b in blocks]
-            for s, blocks in shared.value.items()
+            s: {t: np.unpackbits(np.frombuffer(b, np.uint8), bitorder="little").astype(bool) for t, b in sorted(own.items())}
+            for s, own in shared.value.items()
         }
         for batch in pieces(batches):
             texts = texts_of(batch)
@@ -228,13 +262,13 @@ def asked_windows(docs: DataFrame, tables: dict[int, list[bytes]]) -> DataFrame:
                 begin = np.repeat(first[:-1], np.diff(first))
                 found = []
                 for size, place, prints in window_prints(words, sizes):
-                    for b, values in enumerate(blocks_of(prints)):
-                        hit = np.flatnonzero(np.take(known[size][b], values))
+                    for t, values in values_of(prints, list(known[size])):
+                        hit = np.flatnonzero(np.take(known[size][t], values))
                         where = place + hit
                         inside = where + size <= last[where]
                         hit, where = hit[inside], where[inside]
                         if len(hit):
-                            found.append((key_of(size, b, values[hit]), prints[hit].view(np.int64), where))
+                            found.append((key_of(size, t, values[hit]), prints[hit].view(np.int64), where))
                 if found:
                     key, prints, where = (np.concatenate(x) for x in zip(*found, strict=True))
                     row = pa.array(owner[where], pa.int32())
@@ -270,11 +304,14 @@ def verified(docs: DataFrame, candidates: DataFrame, least: float) -> DataFrame:
             for i, (text, asked) in enumerate(zip(texts_of(batch), column(batch, "asked").to_pylist(), strict=True)):
                 words, _ = word_hashes([text])
                 for c in asked:
-                    begin = max(0, c["begin"])
-                    place = words[begin : max(0, c["begin"] + c["n"])]
-                    alike = similarity(shingle_hashes(place, width_of(c["n"])).view(np.int64), np.array(c["hashes"], np.int64))
+                    own, n = np.array(c["hashes"], np.int64), c["n"]
+                    alike, back = max(
+                        (similarity(shingle_hashes(words[max(0, b) : max(0, b + m)], width_of(n)).view(np.int64), own), -max(0, b))
+                        for b in (c["begin"] - 1, c["begin"], c["begin"] + 1)
+                        for m in (n - 1, n, n + 1)
+                    )
                     if alike >= least:
-                        out.append((i, c["item_id"], alike, begin, c["n"]))
+                        out.append((i, c["item_id"], alike, -back, n))
             names = ["doc_id", "text_hash", "item_id", "similarity", "start_word", "item_words"]
             if out:
                 row = pa.array([o[0] for o in out], pa.int32())
@@ -312,8 +349,8 @@ def contaminated(
     """
     if radius > RADIUS:
         raise ValueError(f"the blocks guarantee windows within {RADIUS} bits")
-    filed = written(filed_items(benchmark), "items")
-    asked = asked_windows(docs, block_tables(filed))
+    filed = written(filed_items(benchmark, least), "items")
+    asked = asked_windows(docs, bit_tables(filed))
     items = filed.withColumnRenamed("print", "item_print").withColumnRenamed("key", "item_key")
     near = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius
     pairs = asked.join(items, (F.col("key") == F.col("item_key")) & near)
