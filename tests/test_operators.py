@@ -517,3 +517,13 @@ def test_quality(spark):
     assert [tuple(r) for r in quality.duplicates(child, ["k"]).collect()] == [(1, 2)]
     assert [tuple(r) for r in quality.null_counts(child, ["k"]).collect()] == [("k", 1)]
     assert [tuple(r) for r in quality.too_long(spark.createDataFrame([("abc",)], "s string"), {"s": 2}).collect()] == [("s", 1)]
+
+
+def test_new_unmapped_per_run(spark):
+    said = spark.createDataFrame([("b", "x"), ("a", "x"), ("a", "x"), ("b", "y"), ("b", "known")], "run_id string, skill string")
+    queue = spark.createDataFrame([("known",)], "skill string")
+    new = queues.first_unmapped(said, queue)
+    assert {tuple(r) for r in new.collect()} == {("a", 1), ("b", 1)}
+    runs = spark.createDataFrame([("a", "accepted", 1, Decimal(1), True), ("c", "failed", 2, None, False)],
+                                 "run_id string, outcome string, attempts int, cost_usd decimal(10,2), has_visa_signal boolean")
+    assert {(r.run_id, r.extracted, r.unmapped_new) for r in ledger.run_statistics(runs, new).collect()} == {("a", 1, 1), ("c", 0, 0)}

@@ -155,9 +155,10 @@ def discovery_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("c_custkey").alias("o_custkey"),
         F.concat_ws(" ", F.translate("c_name", "#", " "), pick(NAME_ENDINGS, F.col("c_custkey") % 8)).alias("company"),
         pick(LOCATIONS, F.col("c_nationkey")).alias("location"),
+        "c_nationkey",
     )
     return orders.join(named, "o_custkey").select(
-        F.col("o_orderkey").alias("fetch_seq"), "company", "location"
+        F.col("o_orderkey").alias("fetch_seq"), "company", "location", "o_custkey", "c_nationkey"
     )
 
 

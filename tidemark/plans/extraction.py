@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions.money import cad_annual_estimate
-from tidemark.operators import candidates, components, ledger, queues
+from tidemark.operators import candidates, components, ledger, queues, taxonomy
 from tidemark.plans.bindings import (
     P_CTE,
     E_CTE,
@@ -191,7 +191,13 @@ def run_statistics(spark, sf_dir):
     )
     signal = F.coalesce(components.any_flag(F.col("components.visa")), F.lit(False))
     rows = outcomes.join(raw, "listing_id").withColumn("has_visa_signal", signal)
-    found = ledger.run_statistics(rows)
+    # a queue that knows one of the words nobody maps
+    queue = spark.createDataFrame([("hot",)], "skill string")
+    kept = rows.where("components is not null").select("run_id", F.col("components.skills"), F.col("components.skills_unmapped"))
+    raw_words = kept.select("run_id", F.explode(F.concat("skills", "skills_unmapped")).alias("raw"))
+    resolved = taxonomy.resolve_mentions(raw_words, dimensions.lookup_terms(skill_table(spark)))
+    said = resolved.where("skill_id is null").select("run_id", F.col("folded").alias("skill"))
+    found = ledger.run_statistics(rows, queues.first_unmapped(said, queue))
     return found.withColumn("cost_usd", money_text(F.col("cost_usd")))
 
 
@@ -387,7 +393,12 @@ ORACLES = {
     "attempt_outcomes": "",
     "dead_letter_rows": f"""WITH {RAW_CTE}, {_OUTCOME} SELECT 'extraction' AS kind, id AS raw_listing_id, error, attempts,
         '2002-01-01 00:00:00' AS created_at, source_url, 'v2' AS prompt_version FROM out WHERE outcome <> 'accepted'""",
-    "run_statistics": f"""WITH {RAW_CTE}, {_OUTCOME} SELECT source_type AS run_id, count(*) AS considered,
+    "run_statistics": f"""WITH {RAW_CTE}, {_OUTCOME},
+        said AS (SELECT source_type, unnest(list_append(skills, 'forklift')) AS skill FROM raw
+          WHERE id IN (SELECT id FROM out WHERE outcome = 'accepted')),
+        firsts AS (SELECT skill, min(source_type) AS run FROM said WHERE skill NOT IN ('hot', 'gizmo')
+          AND skill NOT IN ({", ".join(f"'{i}'" for i, _, _ in SKILLS)}) GROUP BY skill)
+        SELECT source_type AS run_id, (SELECT count(*) FROM firsts WHERE run = source_type) AS unmapped_new, count(*) AS considered,
         count(*) FILTER (WHERE outcome = 'accepted') AS extracted, count(*) FILTER (WHERE outcome <> 'accepted') AS dead_lettered,
         count(*) FILTER (WHERE outcome = 'accepted' AND attempts > 1) AS retried,
         CAST(CAST(sum(CAST(pay AS DECIMAL(12,2))) AS DECIMAL(18,6)) AS VARCHAR) AS cost_usd,

@@ -196,10 +196,7 @@ def _company_queue(spark, sf_dir):
 
 def _boards(spark, sf_dir):
     """Postings as listings of boards whose tokens follow the company name in two ways."""
-    listings = discovery_listings(spark, sf_dir)
-    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("fetch_seq"), "o_custkey")
-    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
-    placed = listings.join(orders, "fetch_seq").join(customers, "o_custkey")
+    placed = discovery_listings(spark, sf_dir)
     words = F.split(F.regexp_replace(F.lower("company"), " (?:inc|ltd|corp)\\.?$", ""), " ")
     hyphened = F.array_join(words, "-")
     # the last nations' boards have tokens nobody would guess
