@@ -3,9 +3,8 @@
 Cross-document line frequency: every normalised line is hashed, and the distinct documents that hold it are
 counted per host.  Lines above the limit are taken out, and a document that loses nearly all of its
 characters this way is rejected.  A line is boilerplate because documents that differ share it, so
-documents are told apart, for this count, by what else they hold: the smallest and the largest
-hash among their other lines.  A thousand copies of an article are one document here; a menu above a
-thousand articles is in a thousand.
+documents are told apart, for this count, by a hash of the set of all their lines.  A thousand
+copies of an article are one document here; a menu above a thousand articles is in a thousand.
 
 Everything is a DataFrame expression.  Texts are read once; what the counting needs (line hashes and
 lengths) is written to the shared folder.  Line counts are aggregated twice, first by (host, line,
@@ -114,16 +113,9 @@ def base_counts(docs: DataFrame, host: str = "source") -> DataFrame:
 
 
 def line_contexts(counts: DataFrame) -> DataFrame:
-    """host, h, context: once per distinct line of a document, with what else it holds."""
+    """host, h, context: once per distinct line of a document, with a hash of all its lines."""
     own = counts.select("host", F.sort_array(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("all"))
-
-    def context(h: Column) -> Column:
-        first, last = F.get("all", F.lit(0)), F.get("all", F.size("all") - 1)
-        low = F.when(first == h, F.get("all", F.lit(1))).otherwise(first)
-        high = F.when(last == h, F.get("all", F.size("all") - 2)).otherwise(last)
-        return F.struct(h.alias("h"), F.xxhash64(F.coalesce(low, F.lit("")), F.coalesce(high, F.lit(""))).alias("context"))
-
-    return own.select("host", F.explode(F.transform("all", context)).alias("x")).select("host", "x.h", "x.context")
+    return own.select("host", F.xxhash64("all").alias("context"), F.explode("all").alias("h")).select("host", "h", "context")
 
 
 def frequent_lines(counts: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
