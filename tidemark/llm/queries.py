@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import (
+    collocations,
     decontamination,
     license_scan,
     line_dedup,
@@ -233,6 +234,53 @@ SELECT doc_id, count(*) AS n_lines, count(c.key) AS n_dropped,
 FROM keyed k LEFT JOIN common c ON k.key = c.key GROUP BY doc_id
 """
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+), pieces AS (
+  SELECT d, lang, unnest(ps) AS piece, unnest(range(len(ps))) AS p
+  FROM (SELECT d, lang, regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]') AS ps FROM docs)
+), split AS (
+  SELECT d, lang, p, unnest(ws) AS w, unnest(range(len(ws))) AS i
+  FROM (SELECT d, lang, p, regexp_split_to_array(piece, '[\x20\x09]+') AS ws FROM pieces)
+), followed AS (
+  SELECT lang, w, lead(w, 1) OVER o AS w2, lead(w, 2) OVER o AS w3
+  FROM split WHERE w <> '' WINDOW o AS (PARTITION BY d, p ORDER BY i)
+), occurring AS (
+  SELECT lang, w AS phrase, 1 AS size FROM followed
+  UNION ALL SELECT lang, w || ' ' || w2, 2 FROM followed WHERE w2 IS NOT NULL
+  UNION ALL SELECT lang, w || ' ' || w2 || ' ' || w3, 3 FROM followed WHERE w3 IS NOT NULL
+), counted AS (
+  SELECT lang, size, phrase, count(*)::HUGEINT AS f FROM occurring GROUP BY ALL
+), candidates AS (
+  SELECT lang, size, phrase, f, string_split(phrase, ' ') AS ws FROM counted WHERE size > 1 AND f >= 10
+), cuts AS (
+  SELECT lang, phrase, size, f, unnest(range(1, size)) AS k, ws FROM candidates
+), measured AS (
+  SELECT c.lang, c.phrase, c.f AS a, x.f AS l, y.f AS r, k, (1000000::HUGEINT * c.f * c.f) // (x.f * y.f) AS score
+  FROM cuts c JOIN counted x ON x.lang = c.lang AND x.phrase = array_to_string(ws[:k], ' ')
+  JOIN counted y ON y.lang = c.lang AND y.phrase = array_to_string(ws[k + 1:], ' ')
+), lowest AS (
+  SELECT * FROM measured QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inside AS (
+  SELECT lang, array_to_string(ws[1:2], ' ') AS phrase, f FROM candidates WHERE size = 3
+  UNION ALL SELECT lang, array_to_string(ws[2:3], ' '), f FROM candidates WHERE size = 3
+), covered AS (
+  SELECT DISTINCT i.lang, i.phrase FROM inside i JOIN counted c ON c.lang = i.lang AND c.phrase = i.phrase WHERE 100 * i.f >= 50 * c.f
+), totals AS (
+  SELECT lang, sum(f) AS n FROM counted WHERE size = 1 GROUP BY lang
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase,
+       a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM lowest JOIN totals USING (lang) ANTI JOIN covered USING (lang, phrase)
+QUALIFY rank <= 2000
+"""
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_toxicity": op2_toxicity,
@@ -244,10 +292,12 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_url_filters": op9_url_filters,
     "op10_line_dedup": op10_line_dedup,
+    "op12_collocations": op12_collocations,
 }
 
 ORACLES: dict[str, str] = {
     "op7_quality_rules": OP7_SQL,
     "op9_url_filters": OP9_SQL,
     "op10_line_dedup": OP10_SQL,
+    "op12_collocations": OP12_SQL,
 }
