@@ -16,7 +16,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -31,8 +30,9 @@ NO_LANGUAGE = "und"
 #: bits of the table of frequent phrases (8 MB); a power of two
 SIEVE_BITS = 1 << 26
 SIEVE_PROBES = 2
-#: bytes of text that are counted together inside a task
-BYTES_AT_ONCE = 6_000_000
+#: bytes of text that are counted together inside a task, and counts handed on at once
+BYTES_AT_ONCE = 10_000_000
+ROWS_AT_ONCE = 50_000
 
 #: marks the end of a piece; it never is a word, as pieces are cut at it
 _CUT = b","
@@ -89,10 +89,10 @@ def make_sieve(counts: DataFrame, bits: int) -> np.ndarray:
     return sieve
 
 
-def stretches(texts: Iterator[tuple[str, bytes]], longest: int, at_once: int) -> Iterator[tuple[str, list[bytes], int]]:
-    """(language, tokens, skip): texts joined up to a limit; a longer text is cut.
+def stretches(texts: Iterator[tuple[str, bytes]], longest: int, at_once: int) -> Iterator[tuple[str, pa.DictionaryArray, int]]:
+    """(language, words, skip): words of texts joined up to a limit; a longer text is cut.
 
-    Phrases that end within the first `skip` tokens belong to the stretch before, whose last tokens those are.
+    Phrases that end within the first `skip` words belong to the stretch before, whose last words those are.
     """
     held: dict[str, list[bytes]] = {}
     size = 0
@@ -102,54 +102,80 @@ def stretches(texts: Iterator[tuple[str, bytes]], longest: int, at_once: int) ->
             held.setdefault(lang, []).append(data)
             size += len(data)
             if size > at_once:
-                for of, parts in held.items():
-                    yield of, _tokens(_CUT.join(parts)), 0
-                held, size = {}, 0
+                for of in list(held):
+                    yield of, words_of(_CUT.join(held.pop(of))), 0
+                size = 0
             continue
         at, before = 0, []
         while at < len(data):
             end = data.find(b" ", at + at_once)
             end = len(data) if end < 0 else end
-            tokens = before + _tokens(data[at:end])
-            yield lang, tokens, len(before)
-            before = tokens[1 - longest :] if longest > 1 else []
+            words = words_of(b" ".join([*before, data[at:end]]))
+            yield lang, words, len(before)
+            before = [w.as_py() for w in words[max(len(words) - longest + 1, 0) :]] if longest > 1 else []
             at = end
-    for of, parts in held.items():
-        yield of, _tokens(_CUT.join(parts)), 0
+    for of in list(held):
+        yield of, words_of(_CUT.join(held.pop(of))), 0
 
 
-def _tokens(data: bytes) -> list[bytes]:
-    return [t for t in data.replace(_CUT, b" , ").split(b" ") if t]
+def words_of(data: bytes) -> pa.DictionaryArray:
+    """Words and cuts in order, each distinct one stored once."""
+    spaced = pa.array([data.replace(_CUT, b" , ")], pa.large_binary()).view(pa.large_string())
+    words = pc.ascii_split_whitespace(spaced).values.dictionary_encode()
+    codes, vocabulary = words.indices, words.dictionary.cast(pa.large_binary())
+    # spaces at the ends leave empty strings
+    empty = pc.index(vocabulary, pa.scalar(b"", pa.large_binary())).as_py()
+    if empty >= 0:
+        codes = codes.filter(pc.not_equal(codes, empty))
+    return pa.DictionaryArray.from_arrays(codes, vocabulary)
 
 
 def phrases_of(
-    lang: str, tokens: list[bytes], skip: int, size: int, sieve: np.ndarray | None
+    lang: str, words: pa.DictionaryArray, skip: int, size: int, sieve: np.ndarray | None
 ) -> tuple[pa.Array, np.ndarray]:
     """Phrases of `size` words and their counts; only those whose parts the sieve holds, if one is given."""
-    codes, words = pd.factorize(np.array(tokens, dtype=object))
-    open_at = np.fromiter((w != _CUT for w in words), dtype=bool, count=len(words))
+    codes, vocabulary = words.indices.to_numpy().astype(np.int64), words.dictionary
     places = len(codes) - size + 1
     if places <= 0:
-        return pa.array([], pa.binary()), np.empty(0, np.int64)
+        return pa.array([], pa.large_binary()), np.empty(0, np.int64)
+    fine = pc.not_equal(vocabulary, pa.scalar(_CUT, pa.large_binary())).to_numpy(zero_copy_only=False)
+    if sieve is not None:
+        hashes = word_hashes(lang, vocabulary.to_pylist())
+        if size == 2:
+            fine &= in_sieve(sieve, hashes)
+    fine = fine[codes]
     fits = np.ones(places, dtype=bool)
     fits[: max(skip - size + 1, 0)] = False
     for i in range(size):
-        fits &= open_at[codes[i : i + places]]
-    if sieve is not None:
-        hashes = word_hashes(lang, list(words))[codes]
-        part = hashes
-        for i in range(1, size - 1):
-            part = chained(part[: len(hashes) - i], hashes[i:])
-        frequent = in_sieve(sieve, part)
-        fits &= frequent[:places] & frequent[1 : places + 1]
+        fits &= fine[i : i + places]
     at = np.flatnonzero(fits)
-    mixed = codes[at].astype(np.int64)
-    for i in range(1, size):
-        _, mixed = np.unique(mixed * len(words) + codes[at + i], return_inverse=True)
-    _, first, counts = np.unique(mixed, return_index=True, return_counts=True)
-    vocabulary = pa.array(list(words), pa.binary())
-    parts = [vocabulary.take(pa.array(codes[at[first] + i])) for i in range(size)]
-    return (parts[0] if size == 1 else pc.binary_join_element_wise(*parts, b" ")), counts
+    if sieve is not None and size > 2:
+        for start in (0, 1):
+            part = hashes[codes[at + start]]
+            for i in range(1, size - 1):
+                part = chained(part, hashes[codes[at + start + i]])
+            at = at[in_sieve(sieve, part)]
+    many = max(len(vocabulary), 1)
+    if many**size < 1 << 63:
+        mixed = codes[at]
+        for i in range(1, size):
+            mixed = mixed * many + codes[at + i]
+        mixed.sort()
+        first = np.flatnonzero(np.diff(mixed, prepend=-1))
+        counts = np.diff(first, append=len(mixed))
+        rest, found = mixed[first], []
+        for _ in range(size):
+            rest, last = np.divmod(rest, many)
+            found.append(last)
+        found.reverse()
+    else:
+        mixed = codes[at]
+        for i in range(1, size):
+            _, mixed = np.unique(mixed * many + codes[at + i], return_inverse=True)
+        _, first, counts = np.unique(mixed, return_index=True, return_counts=True)
+        found = [codes[at[first] + i] for i in range(size)]
+    parts = [vocabulary.take(pa.array(f)) for f in found]
+    return (parts[0] if size == 1 else pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary()))), counts
 
 
 def phrase_counts(
@@ -163,15 +189,15 @@ def phrase_counts(
                 for lang, text in zip(column(batch, "lang").to_pylist(), texts_of(batch), strict=True):
                     yield lang, text.encode("utf-8", "replace")
 
-        for lang, tokens, skip in stretches(texts(), longest, at_once):
-            phrases, counts = phrases_of(lang, tokens, skip, size, sieve)
+        for lang, words, skip in stretches(texts(), longest, at_once):
+            phrases, counts = phrases_of(lang, words, skip, size, sieve)
             if size == 1:
-                phrases = pa.concat_arrays([phrases, pa.nulls(1, pa.binary())])
+                phrases = pa.concat_arrays([phrases, pa.nulls(1, pa.large_binary())])
                 counts = np.append(counts, counts.sum())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang]).take(pa.array(np.zeros(len(counts), np.int64))), phrases.cast(pa.string()), pa.array(counts.astype(np.int64))],
-                ["lang", "phrase", "f"],
-            )
+            for at in range(0, len(counts), ROWS_AT_ONCE):
+                some, n = phrases[at : at + ROWS_AT_ONCE], counts[at : at + ROWS_AT_ONCE].astype(np.int64)
+                langs = pa.DictionaryArray.from_arrays(np.zeros(len(n), np.int32), [lang]).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([langs, some.cast(pa.large_string()).cast(pa.string()), pa.array(n)], ["lang", "phrase", "f"])
 
     rows = docs.select(F.coalesce("lang", F.lit(NO_LANGUAGE)).alias("lang"), "text")
     counted = rows.mapInArrow(run, "lang string, phrase string, f bigint")
