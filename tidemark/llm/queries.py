@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import (
     collocations,
+    conversation_repair,
     decontamination,
     license_scan,
     line_dedup,
@@ -20,6 +21,7 @@ from tidemark.llm import (
     url_reputation,
 )
 from tidemark.llm.common import table
+from tidemark.llm.repair_sql import OP11_SQL
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,6 +236,10 @@ SELECT doc_id, count(*) AS n_lines, count(c.key) AS n_dropped,
 FROM keyed k LEFT JOIN common c ON k.key = c.key GROUP BY doc_id
 """
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
@@ -292,6 +298,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_url_filters": op9_url_filters,
     "op10_line_dedup": op10_line_dedup,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_collocations": op12_collocations,
 }
 
@@ -299,5 +306,6 @@ ORACLES: dict[str, str] = {
     "op7_quality_rules": OP7_SQL,
     "op9_url_filters": OP9_SQL,
     "op10_line_dedup": OP10_SQL,
+    "op11_conversation_repair": OP11_SQL,
     "op12_collocations": OP12_SQL,
 }
