@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import column, texts_of, written
+from tidemark.llm.common import column, pieces, texts_of, written
 from tidemark.session import pinned
 
 #: language of documents that state none
@@ -31,8 +31,8 @@ NO_LANGUAGE = "und"
 SIEVE_BITS = 1 << 26
 SIEVE_PROBES = 2
 #: bytes of text that are counted together inside a task, and counts handed on at once
-BYTES_AT_ONCE = 10_000_000
-ROWS_AT_ONCE = 50_000
+BYTES_AT_ONCE = 4_000_000
+ROWS_AT_ONCE = 20_000
 
 #: marks the end of a piece; it never is a word, as pieces are cut at it
 _CUT = b","
@@ -185,7 +185,7 @@ def phrase_counts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def texts() -> Iterator[tuple[str, bytes]]:
-            for batch in batches:
+            for batch in pieces(batches):
                 for lang, text in zip(column(batch, "lang").to_pylist(), texts_of(batch), strict=True):
                     yield lang, text.encode("utf-8", "replace")
 
