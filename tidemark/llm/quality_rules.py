@@ -25,9 +25,8 @@ WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEATED_PERCENT = 20
 
-#: a line is boilerplate on a host if it is in at least so many distinct documents, and in this share of the host's
+#: a line is boilerplate on a host if it is in at least so many distinct documents, however many the host has
 LINE_DOCS = 50
-LINE_SHARE = 0.01
 #: a document is depleted if it loses more than this share of its lines' characters
 DEPLETED_SHARE = 0.9
 
@@ -118,19 +117,16 @@ def line_contexts(counts: DataFrame) -> DataFrame:
     return own.select("host", F.xxhash64("all").alias("context"), F.explode("all").alias("h")).select("host", "h", "context")
 
 
-def frequent_lines(counts: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
-    """host, h, docs of the lines above the limit of their host."""
-    docs = line_contexts(counts).distinct().groupBy("host", "h").agg(F.count("*").alias("docs")).where(F.col("docs") >= line_docs)
-    hosts = counts.groupBy(F.col("host").alias("of_host")).agg(F.count("*").alias("host_docs"))
-    met = docs.join(hosts, docs["host"].eqNullSafe(hosts["of_host"]))
-    return met.where(F.col("docs") >= line_share * F.col("host_docs")).select("host", "h", "docs")
+def frequent_lines(counts: DataFrame, line_docs: int = LINE_DOCS) -> DataFrame:
+    """host, h, docs of the lines above the limit."""
+    docs = line_contexts(counts).distinct().groupBy("host", "h").agg(F.count("*").alias("docs"))
+    return docs.where(F.col("docs") >= line_docs)
 
 
 def judge(
     docs: DataFrame,
     host: str = "source",
     line_docs: int = LINE_DOCS,
-    line_share: float = LINE_SHARE,
     depleted_share: float = DEPLETED_SHARE,
 ) -> DataFrame:
     """doc_id, text_hash, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
@@ -143,7 +139,7 @@ def judge(
     Columns besides doc_id, text and the host column are not read.
     """
     counts = written(base_counts(docs, host), "base-counts")
-    frequent = written(frequent_lines(counts, line_docs, line_share), "frequent-lines")
+    frequent = written(frequent_lines(counts, line_docs), "frequent-lines")
     own = counts.select("doc_id", "text_hash", "host", F.explode("lines").alias("x"))
     known = frequent.select(F.col("host").alias("of_host"), F.col("h").alias("of_h"))
     hit = own.join(known, own["host"].eqNullSafe(known["of_host"]) & (own["x.h"] == known["of_h"]), "left_semi")
