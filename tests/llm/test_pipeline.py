@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
 import pytest
 
 import corpus_pipeline
 from tests.llm.helpers import DOCS, SF, clashing, corpus, documents
 from tests.llm.test_search_ops import plain_leaks
-from tests.llm.test_text_ops import check_packing, plain_groups, plain_lines, plain_quality
+from tests.llm.test_similar_texts import plain_roots
+from tests.llm.test_text_ops import check_packing, plain_lines, plain_quality
 from tidemark.llm import quality_rules
 
 
@@ -20,21 +19,16 @@ class Row:
 
 def plain_boilerplate(rows, hosts):
     """Ids of documents that lose over nine tenths of their lines' characters to lines common on their host."""
-    import hashlib
-
     strip = lambda x: x.strip(quality_rules.SPACES).lower()
     own = {r.doc_id: [strip(x) for x in (r.text or "").split("\n") if strip(x)] for r in rows}
-    contexts: dict = {}
+    holders: dict = {}
     for d, lines in own.items():
-        digests = sorted({hashlib.md5(x.encode()).hexdigest()[:16] for x in lines})
-        for h in digests:
-            rest = [x for x in digests if x != h]
-            contexts.setdefault((hosts[d], h), set()).add((min(rest, default=""), max(rest, default="")))
-    size = Counter(hosts.values())
-    common = {k for k, v in contexts.items() if len(v) >= 50 and len(v) >= 0.01 * size[k[0]]}
+        for line in set(lines):
+            holders.setdefault((hosts[d], line), set()).add(frozenset(lines))
+    common = {k for k, v in holders.items() if len(v) >= 50}
     gone = set()
     for d, lines in own.items():
-        lost = sum(len(x) for x in lines if (hosts[d], hashlib.md5(x.encode()).hexdigest()[:16]) in common)
+        lost = sum(len(x) for x in lines if (hosts[d], x) in common)
         if lost > 0.9 * sum(map(len, lines)):
             gone.add(d)
     return gone
@@ -48,7 +42,8 @@ def test_run_equals_the_plain_version(spark, sf_dir):
     # ids are distinct here, so the first occurrence of a line is that of the smallest id
     lines = plain_lines(rows, 10, keep_first=True)
     rows = [Row(r.doc_id, lines[r.doc_id, r.text][2]) for r in rows]
-    rows = [r for r, (_, _, component) in zip(rows, plain_groups(rows), strict=True) if r.doc_id == component]
+    rows.sort(key=lambda r: r.doc_id)
+    rows = [r for i, (r, root) in enumerate(zip(rows, plain_roots([r.text for r in rows]), strict=True)) if i == root]
     leaked = {d for d, _ in plain_leaks(rows, items)}
     rows = [r for r in rows if r.doc_id not in leaked]
     found = corpus_pipeline.run(spark, sf_dir).collect()

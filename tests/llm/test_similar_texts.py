@@ -7,7 +7,7 @@ from collections import defaultdict
 
 import corpus_pipeline
 from tests.llm.helpers import DOCS, corpus, documents
-from tidemark.llm import near_dups
+from tidemark.llm import similar_texts
 
 
 def plain_set(text):
@@ -68,14 +68,14 @@ def test_similar_groups_miss_none(spark):
     rows += [(len(rows) + i, " ".join(ring[:8] + [f"s{i}x{k}" for k in range(4)]), "en", "a", None) for i in range(40)]
     rows += [(len(rows), None, "en", "a", None), (len(rows) + 1, " \n", "en", "a", None)]
     rows = [(i, *r[1:]) for i, r in enumerate(rows)]
-    assert same_split(near_dups.similar_groups(documents(spark, rows)), rows)
+    assert same_split(similar_texts.similar_groups(documents(spark, rows)), rows)
     assert len(set(plain_roots([r[1] for r in rows]))) < len(rows) - 100
 
 
 def test_similar_groups_of_the_corpus(spark):
     texts = [r.text for r in corpus(spark, "/root/testdata/sf0.01").orderBy("doc_id").collect()]
     rows = [(i, t, "en", "a", None) for i, t in enumerate(texts)]
-    assert same_split(near_dups.similar_groups(documents(spark, rows)), rows)
+    assert same_split(similar_texts.similar_groups(documents(spark, rows)), rows)
 
 
 def test_stage_drops_copies_a_few_words_apart(spark):
@@ -84,3 +84,25 @@ def test_stage_drops_copies_a_few_words_apart(spark):
     rows.append((9, " ".join(reversed(words)), "en", "a", None))
     out = dict(corpus_pipeline.STAGES)["near_dedup"](spark, spark.createDataFrame(rows, DOCS), "")
     assert sorted(r.doc_id for r in out.collect()) == [0, 9]
+
+
+def test_a_shared_passage_makes_no_pairs_by_the_square(spark, monkeypatch):
+    """Texts that share a passage and nothing else: what is compared in full grows with the texts, not with their square."""
+    from tidemark.llm import chosen_path
+
+    compared = []
+    confirm = chosen_path.Join.confirm
+
+    def counted(self, pairs, name):
+        compared.append(pairs.count())
+        confirm(self, pairs, name)
+
+    monkeypatch.setattr(chosen_path.Join, "confirm", counted)
+    sizes = {}
+    for n in (300, 1200):
+        compared.clear()
+        passage = " ".join(f"p{i}" for i in range(20))
+        rows = [(i, f"{passage} " + " ".join(f"o{i}x{k}" for k in range(60)), "en", "s", None) for i in range(n)]
+        assert similar_texts.similar_groups(documents(spark, rows)).select("root").distinct().count() == n
+        sizes[n] = sum(compared)
+    assert sizes[300] < 300 and sizes[1200] < 1200

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import (
+    chosen_path,
     collocations,
     conversation_repair,
     decontamination,
@@ -90,16 +91,9 @@ words AS (
 ), distinct_lines AS (
   SELECT DISTINCT doc_id, host, h FROM full_lines
 ), contexts AS (
-  SELECT host, h, coalesce(CASE WHEN rank = 1 THEN lead(h) OVER p ELSE first_value(h) OVER p END, '') AS low,
-         coalesce(CASE WHEN rank = n THEN lag(h) OVER p
-                       ELSE last_value(h) OVER (p ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) END, '') AS high
-  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY h) AS rank, count(*) OVER (PARTITION BY doc_id) AS n
-        FROM distinct_lines)
-  WINDOW p AS (PARTITION BY doc_id ORDER BY h)
+  SELECT doc_id, md5(string_agg(h, ',' ORDER BY h)) AS context FROM distinct_lines GROUP BY doc_id
 ), frequent AS (
-  SELECT host, h FROM (SELECT host, h, count(*) AS n FROM (SELECT DISTINCT host, h, low, high FROM contexts) GROUP BY host, h)
-  JOIN (SELECT host, count(*) AS host_docs FROM docs GROUP BY host) USING (host)
-  WHERE n >= {docs} AND n >= {share} * host_docs
+  SELECT host, h FROM distinct_lines JOIN contexts USING (doc_id) GROUP BY host, h HAVING count(DISTINCT context) >= {docs}
 ), lost AS (
   SELECT doc_id, sum(n) AS removed_chars FROM full_lines SEMI JOIN frequent USING (host, h) GROUP BY doc_id
 ), found AS (
@@ -114,7 +108,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT depleted AS kept
 FROM found
-""".format(docs=quality_rules.LINE_DOCS, share=quality_rules.LINE_SHARE, depleted=quality_rules.DEPLETED_SHARE)
+""".format(docs=quality_rules.LINE_DOCS, depleted=quality_rules.DEPLETED_SHARE)
 
 BYTE_BPE = (
     public_tokenizers.path("byte_bpe_50k.json"),
@@ -287,6 +281,36 @@ FROM lowest JOIN totals USING (lang) ANTI JOIN covered USING (lang, phrase)
 QUALIFY rank <= 2000
 """
 
+def op13_minhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
+OP13_SQL = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS i
+  FROM (SELECT doc_id, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[\x20\x09-\x0D]+') AS ws FROM documents)
+), followed AS (
+  SELECT doc_id, w, lead(w, 1) OVER o AS w2, lead(w, 2) OVER o AS w3, row_number() OVER o AS place, count(*) OVER (PARTITION BY doc_id) AS n
+  FROM split WHERE w <> '' WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+), shingles AS (
+  SELECT DISTINCT doc_id, concat_ws(' ', w, w2, w3) AS s FROM followed WHERE w3 IS NOT NULL OR (n < 3 AND place = 1)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)
+), ways AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reached AS (
+  SELECT doc_id, doc_id AS other FROM documents
+  UNION SELECT doc_id, b FROM reached JOIN ways ON other = a
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, min(other) AS component_id, doc_id = min(other) AS kept
+FROM reached LEFT JOIN sizes USING (doc_id) GROUP BY doc_id, n
+"""
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_toxicity": op2_toxicity,
@@ -300,6 +324,7 @@ QUERIES = {
     "op10_line_dedup": op10_line_dedup,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_collocations": op12_collocations,
+    "op13_minhash_near_dups": op13_minhash_near_dups,
 }
 
 ORACLES: dict[str, str] = {
@@ -308,4 +333,5 @@ ORACLES: dict[str, str] = {
     "op10_line_dedup": OP10_SQL,
     "op11_conversation_repair": OP11_SQL,
     "op12_collocations": OP12_SQL,
+    "op13_minhash_near_dups": OP13_SQL,
 }
