@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, line_dedup, near_dups, packing, quality_rules
+from tidemark.llm import decontamination, line_dedup, packing, quality_rules, similar_texts
 from tidemark.llm.common import table, written
 from tidemark.llm.queries import BYTE_BPE
 
@@ -30,7 +30,7 @@ def first_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: five-word shingles at a similarity of 0.8 or more."""
-    return near_dups.one_of_each_similar(docs)
+    return similar_texts.one_of_each(docs)
 
 
 def unleaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
