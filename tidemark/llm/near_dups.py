@@ -9,13 +9,6 @@ fingerprint is therefore filed under its nearest codeword and looked up under al
 four bits, one or six of them.  This misses no pair within three bits; the join checks the distance.
 
 Only distinct fingerprints are filed, so a group of exact copies is one row of the join.
-
-Fingerprints of texts with a shingle similarity of 0.8 are mostly further apart than three bits, so the rule
-"five-word shingles, similarity >= 0.8" has its own search, without loss: with shingles in order of their
-hashes, two such sets share one of the first n - ceil(0.8 n) + 1 of each.  Texts that share one of those are
-compared by their whole sets.  Under each key, texts are compared with one of them first; only those that
-are not yet in one component with the others are compared further, so a large group of similar texts
-costs its size and not its square.
 """
 
 from __future__ import annotations
@@ -43,12 +36,6 @@ GOLAY_BITS, GOLAY_CHECKS = 23, 11
 SEGMENTS, SEGMENT_BITS = 4, 16
 RADIUS = 3
 
-#: texts are similar if their sets of runs of so many words have a Jaccard similarity of SIMILAR_PARTS / SIMILAR_OF or more
-SIMILAR_WIDTH = 5
-SIMILAR_PARTS, SIMILAR_OF = 4, 5
-#: rounds in which each key compares one text with the others, before all that are left are compared
-STAR_ROUNDS = 3
-
 
 def shingles(text: str, width: int) -> list[bytes]:
     """Runs of `width` words, repeats included; all words if there are fewer; none if there are none."""
@@ -203,131 +190,16 @@ def shingle_set(text: str, width: int) -> np.ndarray:
     return np.unique(hashes.view(np.int64))
 
 
-def first_hashes(hashes: np.ndarray) -> np.ndarray:
-    """The first n - ceil(0.8 n) + 1 of them, none of none."""
-    return hashes[: len(hashes) + 1 + -SIMILAR_PARTS * len(hashes) // SIMILAR_OF]
-
-
-def shingle_keys(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, text_hash, node (a hash of the shingle set), n (its size), keys of every row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            sets = [shingle_set(t, width) for t in texts_of(batch)]
-            nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) if len(s) else 0 for s in sets], dtype=np.uint64)
-            sizes = np.array([len(s) for s in sets], dtype=np.int64)
-            firsts = [first_hashes(s) for s in sets]
-            ends = np.cumsum([0, *map(len, firsts)]).astype(np.int32)
-            keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(firsts) if firsts else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays(
-                [column(batch, "doc_id"), column(batch, "text_hash"), pa.array(nodes.view(np.int64)), pa.array(sizes), keys],
-                ["doc_id", "text_hash", "node", "n", "keys"],
-            )
-
-    rows = identified(docs).withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    return rows.mapInArrow(run, "doc_id bigint, text_hash bigint, node bigint, n bigint, keys array<bigint>")
-
-
-def whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """node, hashes, head (first half of each hash filed) of the nodes of `wanted` (node, w_doc, w_text: a row that has it)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            sets = [shingle_set(t, width) for t in texts_of(batch)]
-            heads = [(first_hashes(s) >> 32).astype(np.int32) for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [column(batch, "node"), pa.array(sets, pa.list_(pa.int64())), pa.array(heads, pa.list_(pa.int32()))],
-                ["node", "hashes", "head"],
-            )
-
-    rows = identified(docs).withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    met = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["w_doc"]) & (rows["text_hash"] == wanted["w_text"]))
-    return met.dropDuplicates(["node"]).select("node", "text").mapInArrow(run, "node bigint, hashes array<bigint>, head array<int>")
-
-
-def similar_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b of the pairs (a, a_n, b, b_n) whose shingle sets are similar.
-
-    The heads alone tell most others apart: what one head has below the end of both, and the other lacks, is a
-    difference of the sets, and similar ones have at most (1 - t) / (1 + t) of n + n differences.
-    """
-    left = sets.select(F.col("node").alias("a"), F.col("head").alias("a_head"))
-    right = sets.select(F.col("node").alias("b"), F.col("head").alias("b_head"))
-    end = F.least(F.element_at("a_head", -1), F.element_at("b_head", -1))
-    met = pairs.join(left, "a").join(right, "b").withColumn("end", end)
-    low, high = (F.filter(c, lambda x: x < F.col("end")) for c in ("a_head", "b_head"))
-    differ = F.size(F.array_except(low, high)) + F.size(F.array_except(high, low))
-    may = (SIMILAR_OF + SIMILAR_PARTS) * differ <= (SIMILAR_OF - SIMILAR_PARTS) * (F.col("a_n") + F.col("b_n"))
-    near = written(met.where(may).select("a", "b"), "may-be-similar")
-    ends = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
-    few = written(sets.select("node", "hashes").join(ends, "node", "left_semi"), "compared-sets")
-    left = few.select(F.col("node").alias("a"), F.col("hashes").alias("a_set"))
-    right = few.select(F.col("node").alias("b"), F.col("hashes").alias("b_set"))
-    both, common = F.size("a_set") + F.size("b_set"), F.size(F.array_intersect("a_set", "b_set"))
-    met = near.join(left, "a").join(right, "b")
-    return met.where(SIMILAR_OF * common >= SIMILAR_PARTS * (both - common)).select("a", "b")
-
-
-def similar_groups(docs: DataFrame, width: int = SIMILAR_WIDTH) -> DataFrame:
-    """doc_id, text_hash, root of every row of docs: rows that a chain of similar texts connects have one root.
-
-    Words are those of groups().  A text of fewer words than width is one shingle; texts without words are alike.
-    """
-    known = written(shingle_keys(docs, width), "shingle-keys")
-    filed = known.select("node", "n", F.explode("keys").alias("key"))
-    shared = written(filed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key"), "shared-keys")
-    left = written(filed.join(shared, "key", "left_semi").distinct(), "members")
-    lowest = known.groupBy("node").agg(F.min(F.struct(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"))).alias("x"))
-    wanted = lowest.join(left.select("node").distinct(), "node", "left_semi")
-    sets = written(whole_sets(docs, wanted.select("node", F.col("x.d").alias("w_doc"), F.col("x.t").alias("w_text")), width), "shingle-sets")
-
-    close = (SIMILAR_OF * F.least("a_n", "b_n") >= SIMILAR_PARTS * F.greatest("a_n", "b_n")) & (F.col("a_root") != F.col("b_root"))
-    edges, roots = None, None
-    for turn in range(STAR_ROUNDS + 1):
-        if turn:
-            at = left.join(roots, left["node"] == roots["of"], "left")
-            rooted = at.select("key", left["node"], "n", F.coalesce("root", left["node"]).alias("root"))
-        else:
-            rooted = left.withColumn("root", F.col("node"))
-        bounds = rooted.groupBy("key").agg(
-            F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct("node", "n", "root")).alias("first")
-        )
-        # keys whose texts are all in one component are settled
-        open_keys = bounds.where("low < high").select("key", "first")
-        rooted = written(rooted.join(open_keys, "key"), "open-members")
-        if rooted.isEmpty():
-            break
-        b = rooted.select("key", F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("root").alias("b_root"), "first")
-        if turn < STAR_ROUNDS:
-            met = b.select("*", F.col("first.node").alias("a"), F.col("first.n").alias("a_n"), F.col("first.root").alias("a_root"))
-        else:
-            a = rooted.select("key", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("root").alias("a_root"))
-            met = a.join(b, "key").where("a < b")
-        found = similar_pairs(met.where(close).select("a", "a_n", "b", "b_n").distinct(), sets)
-        edges = written(found if edges is None else edges.union(found), "similar")
-        roots = written(component_roots(edges).withColumnRenamed("node", "of"), "similar-roots")
-        left = rooted.where(F.col("node") != F.col("first.node")).select("key", "node", "n")
-    if roots is None:
-        return known.select("doc_id", "text_hash", F.col("node").alias("root"))
-    met = known.join(roots, known["node"] == roots["of"], "left")
-    return met.select("doc_id", "text_hash", F.coalesce("root", "node").alias("root"))
-
-
 def one_of_each(docs: DataFrame, width: int = 3, radius: int = RADIUS) -> DataFrame:
     """The rows of docs without the near-duplicates: of each component the row with the smallest doc_id stays.
 
     Ties go to the smaller text hash, and a row without an id stays only where no other has one.  Rows that
     repeat doc_id and text are cut down to one.  All columns of docs are kept as they are.
     """
-    return _first_rows(docs, groups(docs, width, radius))
-
-
-def one_of_each_similar(docs: DataFrame, width: int = SIMILAR_WIDTH) -> DataFrame:
-    """As one_of_each(), for texts whose shingles of `width` words have a Jaccard similarity of 0.8 or more."""
-    return _first_rows(docs, similar_groups(docs, width))
+    return first_of_each(docs, groups(docs, width, radius))
 
 
-def _first_rows(docs: DataFrame, found: DataFrame) -> DataFrame:
+def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The row of docs with the smallest doc_id of each root."""
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("text_hash").alias("t"))
     rows = found.groupBy("root", order.alias("row")).agg(F.count("*").alias("copies"))
