@@ -4,12 +4,13 @@ A document is the set of its word shingles, and has COORDINATES minwise tokens,
 under a hash of its own.  Two sets agree in a coordinate with a chance of their Jaccard similarity, so a tree that
 sends a set down by coordinates keeps similar sets together: every node chooses one coordinate, sometimes a second,
 by its own path, and its sets go on to one child for each value there.  A pair of sets at the threshold then has on average
-one child or more in common for every node they share, while other sets fall apart.  Nodes of at most SMALL sets
-are compared exhaustively, larger ones branch again, and TREES independent trees are grown side by side, level by level.
+one child or more in common for every node they share, while other sets fall apart.  Small nodes
+are compared exhaustively, larger ones branch again, and independent trees are grown side by side, level by level.
 
 Groups, not pairs, are wanted, so a node whose sets are all in one group already is settled and leaves its tree.  First
 each set of a node is compared with one of them, which settles a large group of near copies at the cost of its
-size; what is left open is compared or branches.  A comparison looks at sketches of 64 tokens first, then at the full sets.
+size.  Of what is left open a node is small if few of its sets are outside its largest group: those are compared with
+all others, and sets of one group are not.  A comparison looks at sketches of 64 tokens first, then at the full sets.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from tidemark.llm.near_dups import SEED, shingle_set
 COORDINATES, SKETCH_BITS = 64, 4
 #: shingles hashed at once
 SHINGLES_AT_ONCE = 8192
+#: sets of a node that are compared in one block
+BLOCK = 4096
 #: share of the pairs at the threshold that sketches may hide
 HIDDEN = 1e-7
 
@@ -42,6 +45,7 @@ class Forest:
     a chance of q(d) = (1 - t + t q(d - 1)) ** c, c children chosen; all trees together miss it with q ** trees."""
 
     trees: int = 10
+    #: a node is compared exhaustively if so few of its sets are outside its largest group
     small: int = 256
     #: levels whose nodes choose two coordinates; below, the second one is chosen for a share of the nodes
     broad: int = 3
@@ -203,17 +207,25 @@ class Join:
         return rows
 
     def open_members(self, members: DataFrame) -> DataFrame:
-        """tree, node, id, root, size, first (id, root) of the nodes that hold several groups."""
+        """tree, node, id, root, first (id, root), core, size, outside of the nodes that hold several groups.
+
+        core is the group with the most sets of a node, outside the number of its sets in other groups.
+        """
         if self.roots is None:
             rooted = members.withColumn("root", F.col("id"))
         else:
             rooted = members.join(self.roots, members["id"] == self.roots["of"], "left")
             rooted = rooted.select("tree", "node", "id", F.coalesce("root", "id").alias("root"))
-        bounds = rooted.groupBy("tree", "node").agg(
-            F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"), F.min(F.struct("id", "root")).alias("first")
-        )
-        bounds = bounds.where("low < high").drop("low", "high")
-        return written(rooted.join(bounds, ["tree", "node"]), "open-nodes")
+        first = F.min(F.struct("id", "root")).alias("first")
+        if self.roots is None:
+            groups = rooted.groupBy("tree", "node").agg(F.count("*").alias("size"), F.min("root").alias("core"), first, F.lit(1).alias("most"))
+        else:
+            groups = rooted.groupBy("tree", "node", "root").agg(F.count("*").alias("n"), first).groupBy("tree", "node").agg(
+                F.sum("n").alias("size"), F.max_by("root", F.struct("n", "root")).alias("core"), F.min("first").alias("first"),
+                F.max("n").alias("most"),
+            )
+        groups = groups.select("tree", "node", "first", "core", "size", (F.col("size") - F.col("most")).alias("outside"))
+        return written(rooted.join(groups.where("outside > 0"), ["tree", "node"]), "open-nodes")
 
     def star_pairs(self, opened: DataFrame) -> DataFrame:
         """a, b: each set beside the smallest one of its node."""
@@ -225,20 +237,23 @@ class Join:
         return pairs.where(self._likely()).select("a", "b")
 
     def node_pairs(self, opened: DataFrame) -> DataFrame:
-        """a < b: all likely pairs of different groups inside a node, in blocks of at most `small` sets on each side."""
-        blocks = F.ceil(F.col("size") / self.forest.small).cast("bigint")
-        info = self.sets.select("id", "n", *SKETCH)
-        rows = opened.join(info, "id").withColumn("blocks", blocks)
-        rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
-        other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
+        """a < b: all likely pairs of different groups inside a node, in blocks: sets outside the core beside all of the node."""
         names = ["id", "root", "n", *SKETCH]
-        sides = []
-        for side, keys in (("a", ("own", "other")), ("b", ("other", "own"))):
-            spread = rows.select("tree", "node", "own", other.alias("other"), *names)
-            named = [F.col(c).alias(side + ("" if c == "id" else c)) for c in names]
-            sides.append(spread.select("tree", "node", F.col(keys[0]).alias("x"), F.col(keys[1]).alias("y"), *named))
-        met = sides[0].join(sides[1], ["tree", "node", "x", "y"])
-        return met.where((F.col("a") < F.col("b")) & (F.col("aroot") != F.col("broot")) & self._likely()).select("a", "b").distinct()
+        rows = opened.join(self.sets.select("id", "n", *SKETCH), "id")
+
+        def side(of: str, own: str, n: Column, other: str, m: Column) -> DataFrame:
+            mine = F.pmod(F.xxhash64("id"), F.ceil(n).cast("bigint")).alias(own)
+            spread = F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(m).cast("bigint") - 1)).alias(other)
+            named = [F.col(c).alias(of + ("" if c == "id" else c)) for c in names]
+            return rows.select("tree", "node", "core", "root", mine, *named, spread).drop("root")
+
+        outside, everything = F.col("outside") / self.forest.small, F.col("size") / BLOCK
+        left = side("a", "x", outside, "y", everything).where(F.col("aroot") != F.col("core")).drop("core")
+        right = side("b", "y", everything, "x", outside)
+        met = left.join(right, ["tree", "node", "x", "y"])
+        once = (F.col("broot") == F.col("core")) | (F.col("a") < F.col("b"))
+        pairs = met.where((F.col("aroot") != F.col("broot")) & once & self._likely())
+        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     def _likely(self) -> Column:
         sizes = self.of * F.least("an", "bn") >= self.parts * F.greatest("an", "bn")
@@ -247,6 +262,8 @@ class Join:
     def confirm(self, pairs: DataFrame, name: str) -> None:
         """Compare the full sets of pairs and take what is similar as edges."""
         pairs = written(pairs, f"pairs-{name}")
+        if pairs.isEmpty():
+            return
         ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
         if self.read is not None:
             ends = ends.join(self.read.select("id"), "id", "left_anti")
@@ -254,8 +271,6 @@ class Join:
         if not wanted.isEmpty():
             more = written(full_sets(self.docs, wanted, self.width), "full-sets")
             self.read = more if self.read is None else self.read.union(more)
-        if self.read is None:
-            return
         left = self.read.select(F.col("id").alias("a"), F.col("hashes").alias("a_set"))
         right = self.read.select(F.col("id").alias("b"), F.col("hashes").alias("b_set"))
         both, common = F.size("a_set") + F.size("b_set"), F.size(F.array_intersect("a_set", "b_set"))
@@ -281,18 +296,20 @@ class Join:
             opened = self.open_members(members)
             if opened.isEmpty():
                 break
-            self.confirm(self.star_pairs(opened), f"star-{level}")
+            many = F.col("outside") > self.forest.small
+            # near copies become one group before they are compared with each other
+            self.confirm(self.star_pairs(opened if level == 0 else opened.where(many)), f"star-{level}")
             still = self.open_members(opened.select("tree", "node", "id"))
             discard(opened)
-            small = F.col("size") <= self.forest.small
             level += 1
             # without coordinates left, nodes of any size are compared in blocks
             last = level > self.levels
-            self.confirm(self.node_pairs(still if last else still.where(small)), f"node-{level}")
-            large = still.where(~small)
+            self.confirm(self.node_pairs(still if last else still.where(~many)), f"node-{level}")
+            large = still.where(many)
             if last or large.isEmpty():
                 break
             members = written(self.branched(large.select("tree", "node", "id"), level), f"level-{level}")
+            discard(still)
         return self.roots
 
 
