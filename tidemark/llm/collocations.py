@@ -31,7 +31,7 @@ NO_LANGUAGE = "und"
 SIEVE_BITS = 1 << 26
 SIEVE_PROBES = 2
 #: bytes of text that are counted together inside a task, and counts handed on at once
-BYTES_AT_ONCE = 4_000_000
+BYTES_AT_ONCE = 8_000_000
 ROWS_AT_ONCE = 20_000
 
 #: marks the end of a piece; it never is a word, as pieces are cut at it
@@ -201,7 +201,8 @@ def phrase_counts(
 
     rows = docs.select(F.coalesce("lang", F.lit(NO_LANGUAGE)).alias("lang"), "text")
     counted = rows.mapInArrow(run, "lang string, phrase string, f bigint")
-    return counted.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    # most phrases are rare: tables of them in front of the shuffle fill the heap and add up little that tasks have not
+    return counted.repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
 class Chain:
