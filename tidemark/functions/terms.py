@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.fixed_values import BASE_VOCABULARY
@@ -60,3 +60,41 @@ def _phrases(words: Column, length: int, terms: dict[str, str]) -> Column:
         return out
 
     return F.transform(hits, spell)
+
+
+def phrase_grams(words: Column, lengths: Iterable[int]) -> Column:
+    """All distinct runs of these numbers of tokens, joined by spaces."""
+    def runs(length: int) -> Column:
+        last = F.size(words) - (length - 1)
+        starts = F.when(last > 0, F.sequence(F.lit(1), last))
+        joined = F.transform(starts, lambda i: F.array_join(F.slice(words, i, length), " "))
+        return F.coalesce(joined, no_strings())
+
+    return F.array_distinct(F.flatten(F.array(*[runs(length) for length in lengths])))
+
+
+def extract_from_table(rows: DataFrame, vocabulary: DataFrame, key: str, text: str, longest: int = 8) -> DataFrame:
+    """(key, terms) of every row: the sorted distinct terms of vocabulary (one column, term) that its text holds.
+
+    Gives what extract_terms gives, for vocabularies too large to stand in a plan: terms are a table, texts become runs of as
+    many tokens as terms have, and the two meet in a join by hash, with the phrases compared besides.  Terms of more
+    than `longest` tokens stop the query.  key identifies a row; a null text and one without terms have none.
+    """
+    spelled = vocabulary.select(F.lower("term").alias("term")).where("term <> ''").distinct()
+    split = spelled.select("term", tokens(F.col("term")).alias("_t"))
+    size = F.when(F.size("_t") <= longest, F.size("_t")).otherwise(
+        F.raise_error(F.concat(F.lit("term of too many tokens: "), F.col("term"))).cast("int")
+    )
+    phrases = split.select("term", size.alias("n"), F.array_join("_t", " ").alias("phrase"))
+    phrases = phrases.select("term", "n", "phrase", F.xxhash64("phrase").alias("_h"))
+    # at most `longest` numbers
+    lengths = sorted(r[0] for r in phrases.select("n").distinct().collect() if r[0])
+    if not lengths:
+        return rows.select(key, no_strings().alias("terms"))
+    grams = rows.select(F.col(key).alias("_key"), F.explode(phrase_grams(tokens(F.col(text)), lengths)).alias("_gram"))
+    grams = grams.select("_key", "_gram", F.xxhash64("_gram").alias("_g"))
+    hits = grams.join(phrases, (F.col("_g") == F.col("_h")) & (F.col("_gram") == F.col("phrase")))
+    found = hits.groupBy("_key").agg(F.sort_array(F.collect_set("term")).alias("_terms"))
+    return rows.join(found, rows[key] == found["_key"], "left").select(
+        rows[key], F.coalesce("_terms", no_strings()).alias("terms")
+    )

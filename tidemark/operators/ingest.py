@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark import files
 from tidemark.fixed_values import AGGREGATORS
 from tidemark.functions.arrays import no_strings
 from tidemark.functions.geo import looks_canadian
 from tidemark.functions.terms import extract_terms
 from tidemark.functions.text import content_hash
+from tidemark.operators.key_index import KeyIndex
 from tidemark.operators.scale import first_rows, first_seqs, ranked
 from tidemark.session import pinned
 
@@ -46,17 +49,23 @@ def first_of_run(
 
 
 def assign_disposition(
-    listings: DataFrame, canada_only: bool = True, folded: Sequence[str] | None = AGGREGATORS
+    listings: DataFrame,
+    canada_only: bool = True,
+    folded: Sequence[str] | None = AGGREGATORS,
+    firsts: DataFrame | None = None,
 ) -> DataFrame:
     """Adds disposition: 'duplicate', else 'filtered_location', else 'kept'.
 
     Only aggregators repeat a url within a run, once per search, so only their urls are folded (None: those
     of all sources).  The first listing of a url speaks for it whether or not it is kept, so a later copy
     of a dropped url is a duplicate.  Joined on url and fetch_seq together, so a url repeated any
-    number of times stays spread out.
+    number of times stays spread out.  firsts (source_url, fetch_seq) are the listings that speak for their urls, where
+    listings are only a part of a run.
     """
     mine = _is_folded(folded)
-    firsts = first_seqs(listings.where(mine), ["source_url"], "fetch_seq").withColumn("is_first", F.lit(True))
+    if firsts is None:
+        firsts = first_seqs(listings.where(mine), ["source_url"], "fetch_seq")
+    firsts = firsts.select("source_url", "fetch_seq", F.lit(True).alias("is_first"))
     in_scope = looks_canadian(F.col("location")) if canada_only else F.lit(True)
     return (
         listings.join(firsts, ["source_url", "fetch_seq"], "left")
@@ -164,19 +173,33 @@ def landed_keys(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFram
         return spark.createDataFrame([], schema)
 
 
+def key_index(spark: SparkSession, path: str, keys: Sequence[str]) -> KeyIndex:
+    """The index of the table at path, brought up to it."""
+    index = KeyIndex(spark, f"{path}.keys", path, tuple(keys))
+    index.prepare(landed_keys(spark, path, keys) if files.exists(spark, path) else None)
+    return index
+
+
+def insert_by_index(new: DataFrame, index: KeyIndex, seq: str) -> DataFrame:
+    """insert_if_absent by the target's index: reads the buckets of the new keys and nothing of the target."""
+    names = list(index.keys)
+    return new.join(index.fresh(new, seq), [*names, seq], "left_semi")
+
+
 def _append(rows: DataFrame, keyed: DataFrame, path: str, keys: Sequence[str], shape) -> DataFrame:
     """Append the rows whose keys the table at path lacks; (source_type, fetch_seq and keys) of what was added.
 
-    The keys to add are written aside first: the append must not read the table it grows, and texts are
-    read again for the rows that are written, not stored in between.
+    The keys to add are written aside first: texts are read again for the rows that are written, not stored in between.
     """
-    known = landed_keys(rows.sparkSession, path, keys)
+    index = key_index(rows.sparkSession, path, keys)
     narrow = keyed.select(*dict.fromkeys(["source_type", *keys, "fetch_seq"]))
-    fresh = pinned(insert_if_absent(narrow, known, keys, "fetch_seq"))
+    fresh = pinned(insert_by_index(narrow, index, "fetch_seq"))
     if not fresh.isEmpty():
+        index.note(fresh)
         wanted = rows.join(fresh.select("source_url", "fetch_seq"), ["source_url", "fetch_seq"], "left_semi")
         # rebalance merges small sources into few files and splits a hot one
         shape(wanted).hint("rebalance", "source_type").write.mode("append").partitionBy("source_type").parquet(path)
+        index.settle(fresh)
     return fresh
 
 
@@ -207,6 +230,45 @@ def store(
     return new_raw, new_postings
 
 
+@dataclass(frozen=True)
+class Run:
+    """One run that arrives in several parts: which urls its earlier parts have seen.
+
+    Each part leaves a folder of its own, in buckets of urls; a part that is run again replaces it and does not see itself.
+    """
+
+    path: str
+    part: int
+    buckets: int = 64
+
+    def _seen(self, spark: SparkSession, buckets: Sequence[int]) -> DataFrame:
+        earlier = [n for n in files.numbered(spark, self.path, "part=") if n < self.part]
+        if not earlier:
+            return spark.createDataFrame([], "source_url string")
+        rows = spark.read.schema("source_url string, part int, bucket int").parquet(self.path)
+        return rows.where((F.col("part") < self.part) & F.col("bucket").isin(list(buckets))).select("source_url")
+
+    def first_listings(self, rows: DataFrame) -> DataFrame:
+        """(source_url, fetch_seq) of the urls that no earlier part has seen; they are noted for the next parts."""
+        bucket = F.pmod(F.xxhash64("source_url"), F.lit(self.buckets)).cast("int")
+        firsts = pinned(first_seqs(rows, ["source_url"], "fetch_seq").withColumn("bucket", bucket))
+        met = [r[0] for r in firsts.select("bucket").distinct().collect()]
+        seen = self._seen(rows.sparkSession, met).join(firsts.select("source_url"), "source_url", "left_semi")
+        fresh = pinned(firsts.join(seen, "source_url", "left_anti"))
+        noted = fresh.select("source_url", "bucket").hint("rebalance", "bucket")
+        noted.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/part={self.part}")
+        return fresh.select("source_url", "fetch_seq")
+
+
+def run_totals(parts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Counters of whole runs: the sums of run_counts over their parts, and every failed board once."""
+    numbers = [f.name for f in parts.schema if f.name not in (*keys, "source_type", "failed_boards", "batch", "run")]
+    sums = [F.sum(n).alias(n) for n in numbers]
+    # distinct tokens of a configured list
+    boards = F.sort_array(F.array_distinct(F.flatten(F.collect_set("failed_boards")))).alias("failed_boards")
+    return parts.groupBy(*keys, "source_type").agg(*sums, *([boards] if "failed_boards" in parts.columns else []))
+
+
 def ingest_run(
     listings: DataFrame,
     raw_path: str,
@@ -215,13 +277,16 @@ def ingest_run(
     failed: DataFrame | None = None,
     canada_only: bool = True,
     raw_only: Sequence[str] = AGGREGATORS,
+    run: Run | None = None,
 ) -> DataFrame:
-    """Store one run's complete listings and count them by the same dispositions.
+    """Store one run's complete listings, or a part of them, and count them by the same dispositions.
 
-    Returns run_counts with new_raw, new_postings and, where failed bodies are given, failed_boards.
+    Returns run_counts with new_raw, new_postings and, where failed bodies are given, failed_boards.  With a run,
+    a url that an earlier part of it has seen is a duplicate here.
     """
     narrow = listings.select("source_type", "source_url", "location", "fetch_seq")
-    marked = pinned(assign_disposition(narrow, canada_only))
+    firsts = run.first_listings(narrow.where(_is_folded(AGGREGATORS))) if run else None
+    marked = pinned(assign_disposition(narrow, canada_only, firsts=firsts))
     kept = marked.where(F.col("disposition") == "kept").select("source_url", "fetch_seq")
     new_raw, new_postings = store(
         listings.join(kept, ["source_url", "fetch_seq"], "left_semi"), raw_path, postings_path, as_of, raw_only
@@ -239,3 +304,35 @@ def content_versions(raw: DataFrame, keys: Sequence[str] = ("source_type", "exte
     return ranked(distinct, keys, ["first_seen", "content_hash"], "version").withColumn(
         "changed", F.col("version") > 1
     )
+
+
+def next_versions(
+    raw: DataFrame, versions: DataFrame, keys: Sequence[str] = ("source_type", "external_id")
+) -> DataFrame:
+    """content_versions of what raw adds to versions, numbered on from the last version of each external id.
+
+    Contents that versions holds already, at any number, are left out; only external ids that raw has are looked at, and
+    only what is new is ordered.  raw comes after everything versions was made of.
+    """
+    names = list(keys)
+    distinct = raw.groupBy(*names, "content_hash").agg(F.min("fetched_at").alias("first_seen"))
+    met = versions.join(distinct.select(*names).distinct(), names, "left_semi")
+    fresh = distinct.join(met.select(*names, "content_hash"), [*names, "content_hash"], "left_anti")
+    last = met.groupBy(*names).agg(F.max("version").alias("_last"))
+    numbered = ranked(fresh, names, ["first_seen", "content_hash"], "version").join(last, names, "left")
+    version = F.col("version") + F.coalesce("_last", F.lit(0))
+    return numbered.select(*names, "content_hash", "first_seen", version.alias("version"), (version > 1).alias("changed"))
+
+
+def add_versions(raw: DataFrame, path: str, keys: Sequence[str] = ("source_type", "external_id")) -> DataFrame:
+    """Append what raw adds to the version table at path; the rows that were added.
+
+    What is added is written aside before the table it comes from grows.  The same raw rows again add nothing.
+    """
+    spark = raw.sparkSession
+    if files.exists(spark, path):
+        added = pinned(next_versions(raw, spark.read.parquet(path), keys))
+    else:
+        added = pinned(content_versions(raw, keys))
+    added.write.mode("append").parquet(path)
+    return added

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import fixed_values as fv
+from tidemark.operators.scale import running_before
 from tidemark.schemas import POSTING_COLUMNS
 
 
@@ -54,9 +55,13 @@ def filter_postings(
     return kept
 
 
+#: rows page() may skip: a task holds skip + limit of them; page_directory() goes deeper
+MAX_SKIP = 10_000
+
+
 def page(postings: DataFrame, skip: int = 0, limit: int = 50, **filters) -> DataFrame:
     """Newest first, ties by id."""
-    check_range("skip", skip, 0)
+    check_range("skip", skip, 0, MAX_SKIP)
     check_range("limit", limit, 1, 200)
     found = filter_postings(postings, **filters)
     return found.orderBy(F.desc("date_scraped"), "id").offset(skip).limit(limit)
@@ -73,6 +78,47 @@ def page_after(
     return found.orderBy(F.desc("date_scraped"), "id").limit(limit)
 
 
+def page_directory(postings: DataFrame, limit: int = 50, **filters) -> DataFrame:
+    """(page, first_date, first_id): the first row of every page of the filtered postings, pages counted from 0.
+
+    Rows are ranked by range: the postings are cut into ranges of (date, id), ranges are counted, and only a range is ever
+    sorted in one task.  Keep the directory as a table; page_at() then reads any page without the pages before it.
+    Postings without a date come last, as in page().
+    """
+    check_range("limit", limit, 1, 200)
+    narrow = filter_postings(postings, **filters).select("date_scraped", "id")
+    numbered = running_before(narrow, [], [F.desc("date_scraped"), "id"], {"before": F.lit(1).cast("bigint")})
+    firsts = numbered.where(F.col("before") % limit == 0)
+    page_number = (F.col("before") / limit).cast("bigint").alias("page")
+    return firsts.select(page_number, F.col("date_scraped").alias("first_date"), F.col("id").alias("first_id"))
+
+
+def page_at(postings: DataFrame, directory: DataFrame, number: int, limit: int = 50, **filters) -> DataFrame:
+    """Page `number` of the filtered postings by their directory; filters and limit are those it was made with.
+
+    Two rows of the directory bound the page, so the scan is filtered by date and at most `limit` rows are sorted.
+    """
+    check_range("page", number, 0)
+    check_range("limit", limit, 1, 200)
+    edges = {r.page: r for r in directory.where(F.col("page").isin(number, number + 1)).collect()}
+    found = filter_postings(postings, **filters)
+    if number not in edges:
+        return found.limit(0)
+    found = found.where(_from(edges[number]))
+    if number + 1 in edges:
+        found = found.where(~_from(edges[number + 1]))
+    return found.orderBy(F.desc("date_scraped"), "id").limit(limit)
+
+
+def _from(edge) -> Column:
+    """Rows at or after a directory's row, newest first, without a date last."""
+    when, ident = F.col("date_scraped"), F.col("id") >= edge.first_id
+    if edge.first_date is None:
+        return when.isNull() & ident
+    first = F.lit(edge.first_date)
+    return when.isNull() | (when < first) | ((when == first) & ident)
+
+
 def count_jobs(postings: DataFrame, **filters) -> DataFrame:
     return filter_postings(postings, **filters).agg(F.count("*").alias("total"))
 

@@ -79,8 +79,12 @@ def docs_full_counts(spark, sf_dir):
 
 
 def docs_new_raw(spark, sf_dir):
+    """New contents by the key index of what has landed: only buckets that hold keys of the run are read."""
     new, landed = _hashed(spark, sf_dir)
-    fresh = ingest.insert_if_absent(new, landed, ingest.RAW_KEY, "fetch_seq")
+    out = run_folder(spark, "docs_new_raw")
+    landed.select(*ingest.RAW_KEY).write.parquet(f"{out}/raw")
+    index = ingest.key_index(spark, f"{out}/raw", ingest.RAW_KEY)
+    fresh = ingest.insert_by_index(new, index, "fetch_seq")
     return fresh.select("fetch_seq", "source_type", "content_hash")
 
 
@@ -135,6 +139,49 @@ def content_versions(spark, sf_dir):
     return found.withColumn("first_seen", ts_text(F.col("first_seen")))
 
 
+def content_versions_grown(spark, sf_dir):
+    """The same table grown in three steps, each of which numbers on from what is stored; the last one runs twice."""
+    out = run_folder(spark, "content_versions")
+    hashed = ingest.with_hash(document_listings(spark, sf_dir))
+    raw = pinned(hashed.select("external_id", "content_hash", "fetched_at", "fetch_seq"))
+    third = raw.agg((F.max("fetched_at").cast("double") / 3 + F.min("fetched_at").cast("double") * 2 / 3).alias("x")).first().x
+    first = raw.agg(F.min("fetched_at").cast("double").alias("x")).first().x
+    step = F.least(F.floor((F.col("fetched_at").cast("double") - first) / max(third - first, 1.0)), F.lit(2))
+    for number in (0, 1, 2, 2):
+        ingest.add_versions(raw.where(step == number), f"{out}/versions", ["external_id"])
+    found = spark.read.parquet(f"{out}/versions")
+    return found.withColumn("first_seen", ts_text(F.col("first_seen")))
+
+
+def order_texts(spark, sf_dir):
+    """(id, text): what was ordered, line by line, as a text of names and numbers."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
+    said = lines.join(parts, lines.l_partkey == parts.p_partkey).select(
+        F.col("l_orderkey").alias("id"), F.concat(F.upper("p_name"), F.lit("  "), F.col("p_partkey").cast("string")).alias("said"), "l_linenumber"
+    )
+    # an order has a handful of lines
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "said"))), lambda x: x["said"]), ";\n")
+    return said.groupBy("id").agg(joined.alias("text"))
+
+
+def part_phrases(spark, sf_dir):
+    """Terms out of a vocabulary as large as the part table: every part's name with its number, and the names alone."""
+    parts = table(spark, sf_dir, "part")
+    named = parts.select(F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")).alias("term"))
+    vocabulary = named.union(parts.select("p_name"))
+    found = terms.extract_from_table(order_texts(spark, sf_dir), vocabulary, "id", "text")
+    return found.select("id", list_text(F.col("terms")).alias("terms"))
+
+
+def doc_terms_table(spark, sf_dir):
+    """doc_terms with the vocabulary as a table."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    vocabulary = spark.createDataFrame([(v,) for v in VOCABULARY], "term string")
+    found = terms.extract_from_table(docs, vocabulary, "doc_id", "text")
+    return found.select("doc_id", list_text(F.col("terms")).alias("terms"))
+
+
 def doc_terms(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", list_text(terms.extract_terms(F.col("text"), VOCABULARY)).alias("terms"))
@@ -250,6 +297,9 @@ QUERIES = {
     "docs_stored": docs_stored,
     "store_counts": store_counts,
     "content_versions": content_versions,
+    "content_versions_grown": content_versions_grown,
+    "part_phrases": part_phrases,
+    "doc_terms_table": doc_terms_table,
     "doc_terms": doc_terms,
     "top_terms": top_terms,
     "base_terms": base_terms,
@@ -359,8 +409,17 @@ ORACLES = {
         SELECT external_id, content_hash, strftime(t, '%Y-%m-%d %H:%M:%S') AS first_seen,
           row_number() OVER (PARTITION BY external_id ORDER BY t, content_hash) AS version,
           row_number() OVER (PARTITION BY external_id ORDER BY t, content_hash) > 1 AS changed FROM x""",
+    "content_versions_grown": f"""WITH {D_CTE}, x AS (SELECT external_id, content_hash, min(fetched_at) AS t FROM h GROUP BY 1, 2)
+        SELECT external_id, content_hash, strftime(t, '%Y-%m-%d %H:%M:%S') AS first_seen,
+          row_number() OVER (PARTITION BY external_id ORDER BY t, content_hash) AS version,
+          row_number() OVER (PARTITION BY external_id ORDER BY t, content_hash) > 1 AS changed FROM x""",
+    "part_phrases": """WITH s AS (SELECT DISTINCT l_orderkey AS id, lower(p_name) AS name, p_partkey FROM lineitem JOIN part ON l_partkey = p_partkey),
+        t AS (SELECT id, name AS term FROM s UNION SELECT id, name || ' ' || p_partkey FROM s)
+        SELECT id, string_agg(term, ',' ORDER BY term) AS terms FROM t GROUP BY id""",
     "doc_terms": f"""WITH {_terms_cte(VOCABULARY)} SELECT d.doc_id, coalesce(string_agg(term, ',' ORDER BY term), '') AS terms
         FROM documents d LEFT JOIN hit ON hit.doc_id = d.doc_id GROUP BY d.doc_id""",
+    "doc_terms_table": f"""WITH {_terms_cte(VOCABULARY)} SELECT d.doc_id, coalesce(string_agg(term, ',' ORDER BY term), '') AS terms
+        FROM documents d LEFT JOIN hit ON hit.doc_id = d.doc_id GROUP BY d.doc_id""",
     "top_terms": f"WITH {_terms_cte(VOCABULARY)} SELECT lang, term, count(*) AS n FROM hit GROUP BY 1, 2",
     "base_terms": f"WITH {_terms_cte(terms.BASE_VOCABULARY)} SELECT term, count(*) AS n FROM hit GROUP BY 1",
     "long_descriptions": "SELECT lang, count(*) AS n FROM documents WHERE length(text) > 200 GROUP BY lang",

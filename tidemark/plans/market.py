@@ -8,6 +8,7 @@ from tidemark.functions import sql, terms
 from tidemark.functions.text import long_id, strip_query
 from tidemark.operators import ingest, search, trends
 from tidemark.plans.bindings import P_CTE, clock, list_text, postings, sql_places_cte, ts_text
+from tidemark.session import pinned
 
 NAMED = ("red", "widget", "absent", "bolt")
 
@@ -115,6 +116,24 @@ def jobs_page_after(spark, sf_dir):
     return _output(search.page_after(p, edge.date_scraped, edge.id, 50))
 
 
+def jobs_page_deep(spark, sf_dir):
+    """The page in the middle of all remote postings, by a directory of first rows."""
+    p = postings(spark, sf_dir)
+    places = postings(spark, sf_dir, skills=False)
+    directory = pinned(search.page_directory(places, 25, location="remote"))
+    middle = directory.count() // 2
+    return _output(search.page_at(p, directory, middle, 25, location="remote"))
+
+
+def companies_weekly(spark, sf_dir):
+    """Distinct companies of each week by merged daily sketches, beside the exact count they stay within 5 percent of."""
+    p = postings(spark, sf_dir, skills=False)
+    estimated = trends.companies_by(trends.daily_companies(p), "week")
+    exact = p.groupBy(F.to_date(F.date_trunc("week", "date_scraped")).alias("period")).agg(F.countDistinct("company").alias("exact"))
+    near = F.abs(F.col("companies") - F.col("exact")) <= F.greatest(F.lit(1.0), 0.05 * F.col("exact"))
+    return estimated.join(exact, "period").select(F.col("period").cast("string").alias("week"), "n", "exact", near.alias("near"))
+
+
 def jobs_count(spark, sf_dir):
     p = postings(spark, sf_dir)
     return search.count_jobs(p, skill="RED", q="high", source_type="Building")
@@ -201,6 +220,8 @@ QUERIES = {
     "filter_since": _filtered(since_days=30),
     "jobs_page": jobs_page,
     "jobs_page_after": jobs_page_after,
+    "jobs_page_deep": jobs_page_deep,
+    "companies_weekly": companies_weekly,
     "jobs_count": jobs_count,
     "jobs_page_count": jobs_page_count,
     "job_by_id": job_by_id,
@@ -274,6 +295,10 @@ ORACLES = {
     "filter_title": _where("contains(lower(title), 'urgent')"),
     "filter_since": _where("date_scraped >= (SELECT t FROM now_p) - INTERVAL 30 DAY"),
     "jobs_page": _where("contains(lower(location), 'remote') ORDER BY p.date_scraped DESC, id LIMIT 25 OFFSET 40"),
+    "jobs_page_deep": _where("""contains(lower(location), 'remote') ORDER BY p.date_scraped DESC, id LIMIT 25
+        OFFSET (SELECT CAST(ceil(count(*) / 25) AS BIGINT) // 2 * 25 FROM p WHERE contains(lower(location), 'remote'))"""),
+    "companies_weekly": f"""WITH {P_CTE} SELECT strftime(date_trunc('week', date_scraped), '%Y-%m-%d') AS week, count(*) AS n,
+        count(DISTINCT company) AS exact, true AS near FROM p GROUP BY 1""",
     "jobs_page_after": _where("true ORDER BY p.date_scraped DESC, id LIMIT 50 OFFSET 50"),
     "jobs_count": f"""WITH {P_CTE} SELECT count(*) AS total FROM p WHERE list_contains(skills, 'red')
         AND contains(lower(title), 'high') AND source_type = 'building'""",
