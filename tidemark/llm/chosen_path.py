@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import column, discard, identified, pieces, texts_of, written
-from tidemark.llm.graph import component_roots
+from tidemark.llm.graph import component_roots, star_edges
 from tidemark.llm.near_dups import SEED, shingle_set
 
 #: minwise tokens of a set; a sketch keeps SKETCH_BITS bits of each
@@ -46,7 +46,7 @@ class Forest:
 
     trees: int = 10
     #: a node is compared exhaustively if so few of its sets are outside its largest group
-    small: int = 256
+    small: int = 1000
     #: levels whose nodes choose two coordinates; below, the second one is chosen for a share of the nodes
     broad: int = 3
 
@@ -282,12 +282,16 @@ class Join:
             self.add(found)
 
     def add(self, links: DataFrame) -> None:
-        """Take links a, b as edges; groups known so far stand in for the edges they came from."""
-        edges = links if self.roots is None else links.union(self.roots.select(F.col("of").alias("a"), F.col("root").alias("b")))
-        before = self.roots
-        self.roots = written(component_roots(edges).withColumnRenamed("node", "of"), "roots")
-        if before is not None:
-            discard(before)
+        """Take links a, b as edges, and bring the groups up to them so far as two rounds do.
+
+        Sets of one group are always connected; that two groups are not is settled at the end only.
+        """
+        edges = links if self.edges is None else links.union(self.edges)
+        before = [x for x in (self.edges, self.roots) if x is not None]
+        self.edges = star_edges(edges, rounds=2)
+        self.roots = written(self.edges.groupBy(F.col("a").alias("of")).agg(F.min("b").alias("root")), "roots")
+        for table in before:
+            discard(table)
 
     def run(self) -> DataFrame | None:
         """of, root of every set that is not the smallest of its group; None if there are no links at all."""
@@ -310,7 +314,7 @@ class Join:
                 break
             members = written(self.branched(large.select("tree", "node", "id"), level), f"level-{level}")
             discard(still)
-        return self.roots
+        return None if self.edges is None else component_roots(self.edges).withColumnRenamed("node", "of")
 
 
 def distinct_sets(known: DataFrame) -> DataFrame:

@@ -27,17 +27,28 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(lowest.select("a", F.col("low").alias("b"))).distinct()
 
 
+def star_edges(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """Edges a, b with b < a that connect what edges connects, after so many rounds, or after the last one that changes them.
+
+    After the last one b is the smallest node of a's component.
+    """
+    current = written(edges.select("a", "b").where("a <> b").distinct(), "edges")
+    mark, done = None, 0
+    while rounds is None or done < rounds:
+        done += 1
+        current = written(_small_star(_large_star(current)), "edges")
+        if rounds is None:
+            now = current.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
+            if now == mark:
+                break
+            mark = now
+    return current
+
+
 def component_roots(edges: DataFrame) -> DataFrame:
     """node, root for every node that is not the smallest of its component.
 
     edges has bigint columns a and b; direction, repeats and loops do not matter.  Rounds go on until
     the table stops changing; each is written to the shared folder, so lineage stays short.
     """
-    current = written(edges.select("a", "b").where("a <> b").distinct(), "edges")
-    mark = None
-    while True:
-        current = written(_small_star(_large_star(current)), "edges")
-        now = current.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if now == mark:
-            return current.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        mark = now
+    return star_edges(edges).select(F.col("a").alias("node"), F.col("b").alias("root"))
