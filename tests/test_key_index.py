@@ -30,7 +30,7 @@ def table_of(spark, n, buckets, tmp_path):
     rows = spark.range(n).select(F.concat(F.lit("u"), F.col("id")).alias("source_url"))
     rows.write.parquet(f"{tmp_path}/table")
     index = KeyIndex(spark, f"{tmp_path}/keys", f"{tmp_path}/table", ("source_url",), buckets)
-    index.prepare(spark.read.parquet(f"{tmp_path}/table"))
+    index.prepare(lambda: spark.read.parquet(f"{tmp_path}/table"))
     return index
 
 
@@ -105,7 +105,7 @@ def test_compaction_keeps_the_keys(spark, tmp_path):
 
 def test_an_empty_batch_and_an_empty_index(spark, tmp_path):
     index = KeyIndex(spark, f"{tmp_path}/keys", f"{tmp_path}/table", ("a", "b"), 8)
-    index.prepare(None)
+    index.prepare(lambda: pytest.fail("there is no table"))
     rows = spark.createDataFrame([("x", "y", 2), ("x", "y", 1)], "a string, b string, seq bigint")
     assert [tuple(r) for r in index.fresh(rows, "seq").collect()] == [("x", "y", 1)]
     assert index.fresh(rows.limit(0), "seq").isEmpty()

@@ -91,7 +91,7 @@ def extract_from_table(rows: DataFrame, vocabulary: DataFrame, key: str, text: s
     lengths = sorted(r[0] for r in phrases.select("n").distinct().collect() if r[0])
     if not lengths:
         return rows.select(key, no_strings().alias("terms"))
-    grams = rows.select(F.col(key).alias("_key"), F.explode(phrase_grams(tokens(F.col(text)), lengths)).alias("_gram"))
+    grams = rows.select(F.col(key).alias("_key"), F.explode(let(tokens(F.col(text)), lambda words: phrase_grams(words, lengths))).alias("_gram"))
     grams = grams.select("_key", "_gram", F.xxhash64("_gram").alias("_g"))
     hits = grams.join(phrases, (F.col("_g") == F.col("_h")) & (F.col("_gram") == F.col("phrase")))
     found = hits.groupBy("_key").agg(F.sort_array(F.collect_set("term")).alias("_terms"))

@@ -176,7 +176,7 @@ def landed_keys(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFram
 def key_index(spark: SparkSession, path: str, keys: Sequence[str]) -> KeyIndex:
     """The index of the table at path, brought up to it."""
     index = KeyIndex(spark, f"{path}.keys", path, tuple(keys))
-    index.prepare(landed_keys(spark, path, keys) if files.exists(spark, path) else None)
+    index.prepare(lambda: landed_keys(spark, path, keys))
     return index
 
 
@@ -239,7 +239,7 @@ class Run:
 
     path: str
     part: int
-    buckets: int = 64
+    buckets: int = 8
 
     def _seen(self, spark: SparkSession, buckets: Sequence[int]) -> DataFrame:
         earlier = [n for n in files.numbered(spark, self.path, "part=") if n < self.part]

@@ -6,10 +6,12 @@ so that every rule of the contract meets data.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from tidemark.functions.money import cad_annual_estimate
-from tidemark.operators import candidates, components, ledger, queues, taxonomy
+from tidemark.operators import candidates, components, ledger, quality, queues, taxonomy
 from tidemark.plans.bindings import (
     P_CTE,
     E_CTE,
@@ -163,6 +165,91 @@ def _attempts(spark, sf_dir):
     )
 
 
+def _answer(*left_out: str, **fields) -> str:
+    """A sound answer with fields replaced and left out; @ stands for a part's name."""
+    sound = {
+        "title_raw": "@", "title_normalized": "@", "company_raw": "Acme", "company_canonical": "acme", "skills": ["red"],
+        "compensation": {"min_amount": 10, "max_amount": 20.5, "currency": "CAD", "period": "hour"},
+        "eligibility": {"min_years_experience": 2, "evidence": ["two years"]},
+        "visa": {"sponsorship_available": False, "evidence": ["no sponsorship"]},
+    }
+    return json.dumps({k: v for k, v in (sound | fields).items() if k not in left_out})
+
+
+#: (the rules an answer breaks, the answer): every rule of the contract by itself, several at once, and none
+RULE_CASES = (
+    ("", _answer()),
+    ("unknown key", _answer(salary=3)),
+    ("unknown key", _answer(visa={"surprise": 1})),
+    ("unknown key", _answer(eligibility={"age": 30})),
+    *[(f"{name} missing", _answer(name)) for name in components.REQUIRED],
+    ("title_raw missing", _answer(title_raw=None)),
+    *[(f"{name} is null", _answer(**{name: None})) for name in components.NEVER_NULL],
+    ("unknown seniority", _answer(seniority="boss")),
+    ("unknown remote policy", _answer(remote_policy="sometimes")),
+    ("unknown pay period", _answer(compensation={"min_amount": 1, "currency": "CAD", "period": "fortnight"})),
+    ("amount without currency", _answer(compensation={"max_amount": 1, "currency": "", "period": "year"})),
+    ("minimum above maximum", _answer(compensation={"min_amount": 2, "max_amount": 1, "currency": "EUR"})),
+    ("visa flag without evidence", _answer(visa={"citizenship_or_pr_required": False, "evidence": [" "]})),
+    ("years without evidence", _answer(eligibility={"min_years_experience": 0})),
+    ("years out of range", _answer(eligibility={"min_years_experience": -1, "evidence": ["minus one"]})),
+    ("years out of range", _answer(eligibility={"min_years_experience": 41, "evidence": ["41"]})),
+    ("years not whole", _answer(eligibility={"min_years_experience": 2.5, "evidence": ["two and a half"]})),
+    ("confidence out of range", _answer(extraction_confidence=-0.1)),
+    ("unreadable", _answer()[:-1]),
+    ("unreadable", _answer(skills="red")),
+    ("unreadable", "[1, 2]"),
+    ("unknown key,company_raw missing,skills is null,unknown seniority,years out of range",
+     _answer("company_raw", salary=3, skills=None, seniority="boss", eligibility={"min_years_experience": 99, "evidence": ["99"]})),
+    ("", _answer("skills", "visa", "eligibility", "compensation", extraction_confidence=1, seniority="senior", remote_policy="hybrid")),
+    ("", _answer(eligibility={"min_years_experience": 40, "evidence": ["", "forty"]}, extraction_confidence=0)),
+)
+
+
+def responses_all_rules(spark, sf_dir):
+    """An answer for every part, so that each of the contract's rules meets data by itself."""
+    parts = table(spark, sf_dir, "part")
+    answer = F.replace(pick([a for _, a in RULE_CASES], F.col("p_partkey") % len(RULE_CASES)), F.lit("@"), F.col("p_name"))
+    rows = parts.select(F.col("p_partkey").alias("listing_id"), answer.alias("response"))
+    judged = components.judge_responses(rows)
+    title = F.col("components.title_raw")
+    return judged.select("listing_id", list_text(F.col("problems")).alias("problems"), title.alias("title"))
+
+
+SOUND, UNSOUND = 17, 0
+
+
+def attempts_of_three(spark, sf_dir):
+    """Outcomes of three attempts: mended by the third, by the second, refused at last, never sound, and lost to errors of
+    5,000 characters and more, which are kept whole."""
+    rows = raw_listings(spark, sf_dir).withColumn("attempt", F.explode(F.array(*[F.lit(n) for n in (1, 2, 3)])))
+    kind, attempt = F.col("id") % 5, F.col("attempt")
+    lost = (kind == 1) | ((kind == 0) & (attempt == 2))
+    refused = (kind == 2) & (attempt == 3)
+    sound = ((kind == 0) & (attempt == 3)) | ((kind == 3) & (attempt >= 2))
+    long_error = F.concat(F.lit("timeout "), F.repeat(F.lit("x"), F.col("id").cast("int") % 100 + 5000), attempt.cast("string"))
+    answers = rows.select(
+        F.col("id").alias("listing_id"),
+        "attempt",
+        F.when(refused, "refusal").otherwise("end_turn").alias("stop_reason"),
+        F.when(lost, long_error).alias("transport_error"),
+        F.when(~lost & ~refused, response(F.when(sound, F.lit(SOUND)).otherwise(F.lit(UNSOUND)))).alias("response"),
+    )
+    found = components.resolve_attempts(answers)
+    return found.select(
+        "listing_id", "outcome", "attempts", F.length("error").cast("bigint").alias("error_length"), F.md5("error").alias("error_digest"),
+        F.col("components").isNotNull().alias("has_components"), F.col("raw_response").isNotNull().alias("has_raw"),
+    )
+
+
+def component_orphans(spark, sf_dir):
+    """Components whose listing is gone: the listings of companies in debt were deleted."""
+    raw = raw_listings(spark, sf_dir, skills=False)
+    rows = raw.select(F.col("id").alias("raw_listing_id"), F.col("nation"))
+    accepted = rows.where(pick(FAULTS, F.col("nation")) == "").select("raw_listing_id")
+    return quality.orphans(accepted, raw.where("balance >= 0").select("id"), "raw_listing_id", "id")
+
+
 def attempt_outcomes(spark, sf_dir):
     found = components.resolve_attempts(_attempts(spark, sf_dir))
     return found.select(
@@ -324,6 +411,9 @@ QUERIES = {
     "components_flat": components_flat,
     "visa_known": visa_known,
     "attempt_outcomes": attempt_outcomes,
+    "attempts_of_three": attempts_of_three,
+    "responses_all_rules": responses_all_rules,
+    "component_orphans": component_orphans,
     "dead_letter_rows": dead_letter_rows,
     "run_statistics": run_statistics,
     "latest_components": latest_components,
@@ -447,3 +537,16 @@ ORACLES = {
 }
 ORACLES["attempt_outcomes"] = f"""WITH {RAW_CTE}, {_OUTCOME} SELECT id AS listing_id, outcome, attempts, error,
     outcome = 'accepted' AS has_components, outcome = 'failed' AND nation <> 10 AS has_raw FROM out"""
+_KIND = "id % 5"
+_LONG = "'timeout ' || repeat('x', CAST(id % 100 + 5000 AS INTEGER)) || '3'"
+ORACLES["attempts_of_three"] = f"""WITH {RAW_CTE}, o AS (SELECT id, {sql_pick(('accepted', 'failed', 'refused', 'accepted', 'failed'), _KIND)} AS outcome,
+    CASE WHEN {_KIND} = 3 THEN 2 ELSE 3 END AS attempts,
+    CASE {_KIND} WHEN 1 THEN 'extraction failed after 3 attempts: ' || {_LONG} WHEN 2 THEN 'model refused'
+      WHEN 4 THEN 'extraction failed after 3 attempts: {FAULTS[UNSOUND]}' END AS error FROM raw)
+    SELECT id AS listing_id, outcome, attempts, length(error) AS error_length, md5(error) AS error_digest,
+      outcome = 'accepted' AS has_components, id % 5 = 4 AS has_raw FROM o"""
+_BROKEN = sql_pick([rules for rules, _ in RULE_CASES], f"p_partkey % {len(RULE_CASES)}")
+ORACLES["responses_all_rules"] = f"""SELECT p_partkey AS listing_id, {_BROKEN} AS problems,
+    CASE WHEN {_BROKEN} = '' THEN p_name END AS title FROM part"""
+ORACLES["component_orphans"] = f"""WITH {RAW_CTE} SELECT id AS raw_listing_id, count(*) AS n FROM raw
+    WHERE {_SOUND} AND NOT balance >= 0 GROUP BY 1"""

@@ -140,9 +140,10 @@ def line_duplicates(spark, sf_dir):
     return quality.duplicates(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
-def label_orphans(spark, sf_dir):
-    """Customer keys of orders that are no supplier's key."""
-    return quality.orphans(table(spark, sf_dir, "orders"), table(spark, sf_dir, "supplier"), "o_custkey", "s_suppkey")
+def customer_orphans(spark, sf_dir):
+    """Companies that have postings, but are not in the company dimension: those of one market segment were taken out of it."""
+    known = table(spark, sf_dir, "customer").where("c_mktsegment <> 'BUILDING'")
+    return quality.orphans(table(spark, sf_dir, "orders"), known, "o_custkey", "c_custkey")
 
 
 def posting_nulls(spark, sf_dir):
@@ -163,7 +164,7 @@ QUERIES = {
     "gold_rows": gold_rows,
     "unreviewed": unreviewed,
     "line_duplicates": line_duplicates,
-    "customer_orphans": label_orphans,
+    "customer_orphans": customer_orphans,
     "posting_nulls": posting_nulls,
 }
 
@@ -225,7 +226,7 @@ ORACLES = {
     "unreviewed": "SELECT doc_id AS listing_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "line_duplicates": "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1",
     "customer_orphans": """SELECT o_custkey, count(*) AS n FROM orders
-        WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = o_custkey) GROUP BY 1""",
+        WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_mktsegment <> 'BUILDING') GROUP BY 1""",
     "posting_nulls": f"""WITH {P_CTE} SELECT 'id' AS column_name, 0 AS nulls UNION ALL SELECT 'title', 0 UNION ALL SELECT 'company', 0
         UNION ALL SELECT 'location', (SELECT count(*) FROM p WHERE location IS NULL)
         UNION ALL SELECT 'skills', 0 UNION ALL SELECT 'source_url', 0""",
