@@ -175,3 +175,31 @@ def test_query_of_the_corpus(spark):
         rows = QUERIES["op13_minhash_near_dups"](spark, sf_dir).collect()
         want, links = plain_rows([(r.doc_id, r.text) for r in corpus(spark, sf_dir).collect()])
         assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in rows), key=repr) == want and links
+
+
+def test_sketches_agree_where_sets_do(spark):
+    """Sketches of similar sets are hardly ever hidden, those of others mostly are."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for n in (40, 150, 3000):
+        for t, kind in ((0.85, "near"), (0.6, "far")):
+            common = int(n * 2 * t / (1 + t))
+            for _ in range(60):
+                a = np.unique(rng.integers(-(2**63), 2**63, n))
+                b = np.unique(np.concatenate([a[rng.permutation(len(a))[:common]], rng.integers(-(2**63), 2**63, n - common)]))
+                rows.append((kind, len(a), len(b), *map(int, chosen_path.sketch(a)), *map(int, chosen_path.sketch(b))))
+    names = [f"{side}{s}" for side in "ab" for s in chosen_path.SKETCH]
+    given = spark.createDataFrame(rows, "kind string, an bigint, bn bigint, " + ", ".join(f"{n} bigint" for n in names))
+    join = chosen_path.Join(None, None, 3, 84, 100, chosen_path.Forest())
+    likely = {r.kind: r.n for r in given.where(join._likely()).groupBy("kind").agg({"kind": "count"}).toDF("kind", "n").collect()}
+    assert likely["near"] >= 175 and likely.get("far", 0) < 90
+
+
+def test_a_bit_table_holds_all_its_keys(spark):
+    from tidemark.llm.common import bit_table, in_bit_table
+
+    keys = np.random.default_rng(7).integers(-(2**63), 2**63, 3000)
+    table = bit_table(spark.createDataFrame([(int(k),) for k in keys[:1500]], "k bigint"))
+    found = in_bit_table(table, keys)
+    assert found[:1500].all() and found[1500:].sum() < 5
+    assert not in_bit_table(bit_table(spark.createDataFrame([], "k bigint")), keys).any()

@@ -8,14 +8,13 @@ one child or more in common for every node they share, while other sets fall apa
 are compared exhaustively, larger ones branch again, and independent trees are grown side by side, level by level.
 
 Groups, not pairs, are wanted, so a node whose sets are all in one group already is settled and leaves its tree.  First
-each set of a node is compared with one of them, which settles a large group of near copies at the cost of its
-size.  Of what is left open a node is small if few of its sets are outside its largest group: those are compared with
-all others, and sets of one group are not.  A comparison looks at sketches of 64 tokens first, then at the full sets.
+each set of a node is compared with one of them and with a few others at random, which settles a large group of near copies at
+the cost of its size.  Of what is left open a node is small if few of its sets are outside its largest group: those are
+compared with all others, and sets of one group are not.  A comparison looks at sketches of the sets first, then at the full sets.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -25,18 +24,22 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import column, discard, identified, pieces, texts_of, written
+from tidemark.llm.common import bit_table, column, discard, identified, in_bit_table, pieces, texts_of, written
 from tidemark.llm.graph import component_roots, star_edges
 from tidemark.llm.near_dups import SEED, shingle_set
 
-#: minwise tokens of a set; a sketch keeps SKETCH_BITS bits of each
-COORDINATES, SKETCH_BITS = 64, 4
+#: minwise tokens of a set
+COORDINATES = 64
+#: a sketch splits the shingles into BINS by their hashes and keeps four bits of the smallest one in each
+BINS = 256
 #: shingles hashed at once
 SHINGLES_AT_ONCE = 8192
 #: sets of a node that are compared in one block
 BLOCK = 4096
-#: share of the pairs at the threshold that sketches may hide
-HIDDEN = 1e-7
+#: sets of a node that are compared with each other at random, before all outside its largest group are compared
+PARTNERS = 16
+#: a pair at the threshold is hidden by its sketches if they are so many standard deviations off, one in 100,000
+DEVIATIONS = 4.3
 
 
 @dataclass(frozen=True)
@@ -80,10 +83,14 @@ def minwise(hashes: np.ndarray, multipliers: tuple[np.ndarray, np.ndarray]) -> n
     return (low >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def sketch(tokens: np.ndarray) -> np.ndarray:
-    """SKETCH_BITS bits of each token, 16 tokens to a number."""
-    nibbles = (tokens.view(np.uint32) & np.uint32(15)).astype(np.uint64).reshape(-1, 16)
-    return np.bitwise_or.reduce(nibbles << (np.arange(16, dtype=np.uint64) * np.uint64(SKETCH_BITS)), axis=1).view(np.int64)
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """Four bits a bin, zero for an empty one, 16 bins to a number; hashes are in order."""
+    bins = (hashes.view(np.uint64) >> np.uint64(56)).astype(np.int64) ^ 0x80
+    first = np.flatnonzero(np.diff(bins, prepend=-1))
+    nibbles = np.zeros(BINS, dtype=np.uint64)
+    nibbles[bins[first]] = hashes[first].view(np.uint64) % np.uint64(15) + np.uint64(1)
+    places = np.arange(16, dtype=np.uint64) * np.uint64(4)
+    return np.bitwise_or.reduce(nibbles.reshape(-1, 16) << places, axis=1).view(np.int64)
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -95,8 +102,15 @@ def majority(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big", signed=True)
 
 
-_SIGNED = "doc_id bigint, text_hash bigint, node bigint, n bigint, print bigint, tokens array<int>, s0 bigint, s1 bigint, s2 bigint, s3 bigint"
-SKETCH = ("s0", "s1", "s2", "s3")
+_SIGNED = "doc_id bigint, text_hash bigint, node bigint, n bigint, print bigint, tokens array<int>, " + ", ".join(
+    f"s{i} bigint" for i in range(BINS // 16)
+)
+SKETCH = tuple(f"s{i}" for i in range(BINS // 16))
+
+
+def node_of(hashes: np.ndarray) -> int | None:
+    """A number for a set; null for an empty one."""
+    return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)).view(np.int64)) if len(hashes) else None
 
 
 def signed(docs: DataFrame, width: int, prints: bool) -> DataFrame:
@@ -107,16 +121,16 @@ def signed(docs: DataFrame, width: int, prints: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             sets = [shingle_set(t, width) for t in texts_of(batch)]
-            nodes = [int(np.uint64(xxhash.xxh64_intdigest(s.tobytes(), SEED)).view(np.int64)) if len(s) else None for s in sets]
+            nodes = [node_of(s) for s in sets]
             tokens = [minwise(s, multipliers) if len(s) else None for s in sets]
-            marks = np.array([sketch(t) if t is not None else np.zeros(4, np.int64) for t in tokens], dtype=np.int64).reshape(-1, 4)
+            marks = np.array([sketch(s) for s in sets], dtype=np.int64).reshape(-1, len(SKETCH))
             yield pa.RecordBatch.from_arrays(
                 [
                     column(batch, "doc_id"), column(batch, "text_hash"), pa.array(nodes, pa.int64()),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([majority(s) if prints and len(s) else None for s in sets], pa.int64()),
                     pa.array(tokens, pa.list_(pa.int32())),
-                    *[pa.array(marks[:, i]) for i in range(4)],
+                    *[pa.array(marks[:, i]) for i in range(len(SKETCH))],
                 ],
                 ["doc_id", "text_hash", "node", "n", "print", "tokens", *SKETCH],
             )
@@ -126,40 +140,41 @@ def signed(docs: DataFrame, width: int, prints: bool) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """id, hashes of the sets of `wanted` (id, w_doc, w_text: a row that has it)."""
+    """id, hashes of the sets of `wanted` (w_doc, w_text: a row that has it), and perhaps of a few others.
+
+    Tasks tell by a bit table of fixed size which texts to read, so texts are not shuffled; as the table fills up, more are read.
+    """
+    table = bit_table(wanted.select(F.xxhash64("w_doc", "w_text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            sets = [shingle_set(t, width) for t in texts_of(batch)]
-            yield pa.RecordBatch.from_arrays([column(batch, "id"), pa.array(sets, pa.list_(pa.int64()))], ["id", "hashes"])
+        for whole in batches:
+            for batch in pieces([whole.filter(pa.array(in_bit_table(table, column(whole, "key").to_numpy())))]):
+                sets = [shingle_set(t, width) for t in texts_of(batch)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([node_of(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["id", "hashes"]
+                )
 
     rows = identified(docs).withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    met = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["w_doc"]) & (rows["text_hash"] == wanted["w_text"]))
+    rows = rows.select(F.xxhash64("doc_id", "text_hash").alias("key"), "text")
     # rows that repeat a document give its set again
-    return met.select("id", "text").mapInArrow(run, "id bigint, hashes array<bigint>").dropDuplicates(["id"])
-
+    return rows.mapInArrow(run, "id bigint, hashes array<bigint>").where("id is not null").dropDuplicates(["id"])
 
-def tokens_needed(parts: int, of: int) -> int:
-    """So many equal tokens of a sketch a pair at parts / of has, but for a share of HIDDEN."""
-    chance = parts / of + (1 - parts / of) / (1 << SKETCH_BITS)
-    below, k = 0.0, 0
-    while True:
-        below += math.comb(COORDINATES, k) * chance**k * (1 - chance) ** (COORDINATES - k)
-        if below > HIDDEN:
-            return k
-        k += 1
 
-
-def equal_tokens(left: str, right: str) -> Column:
-    """Equal tokens of two sketches, whose columns are named <left>s0 ... and <right>s0 ..."""
+def agreement(left: str, right: str) -> tuple[Column, Column]:
+    """(bins that agree, bins that are not empty in both) of two sketches, in columns <left>s0 ... and <right>s0 ..."""
     ones = F.lit(0x1111111111111111).cast("bigint")
-    differ = F.lit(0)
-    for s in SKETCH:
-        x = F.col(left + s).bitwiseXOR(F.col(right + s))
+
+    def marked(x: Column) -> Column:
+        """How many of a number's 16 bins are not zero."""
         x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
         x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        differ = differ + F.bit_count(x.bitwiseAND(ones))
-    return F.lit(COORDINATES) - differ
+        return F.bit_count(x.bitwiseAND(ones))
+
+    differ, used = F.lit(0), F.lit(0)
+    for s in SKETCH:
+        differ = differ + marked(F.col(left + s).bitwiseXOR(F.col(right + s)))
+        used = used + marked(F.col(left + s).bitwiseOR(F.col(right + s)))
+    return used - differ, used
 
 
 #: finds pairs (a, b) of the sets it is given
@@ -255,9 +270,27 @@ class Join:
         pairs = met.where((F.col("aroot") != F.col("broot")) & once & self._likely())
         return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
+    def random_pairs(self, opened: DataFrame, turn: int) -> DataFrame:
+        """a < b: likely pairs of different groups among about PARTNERS sets of a node that a hash brings together."""
+        info = self.sets.select("id", "n", *SKETCH)
+        few = F.pmod(F.xxhash64("id", F.lit(turn), "tree"), F.ceil(F.col("size") / PARTNERS).cast("bigint"))
+        rows = opened.join(info, "id").select("tree", "node", "id", "root", "core", "n", *SKETCH, few.alias("few"))
+        names = ["id", "root", "n", *SKETCH]
+        left, right = (
+            rows.select("tree", "node", "few", "core", *[F.col(c).alias(of + ("" if c == "id" else c)) for c in names]) for of in "ab"
+        )
+        met = left.where(F.col("aroot") != F.col("core")).drop("core").join(right, ["tree", "node", "few"])
+        once = (F.col("broot") == F.col("core")) | (F.col("a") < F.col("b"))
+        pairs = met.where((F.col("aroot") != F.col("broot")) & once & self._likely())
+        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
     def _likely(self) -> Column:
         sizes = self.of * F.least("an", "bn") >= self.parts * F.greatest("an", "bn")
-        return sizes & (equal_tokens("a", "b") >= tokens_needed(self.parts, self.of))
+        agree, used = agreement("a", "b")
+        share = self.parts / self.of
+        # different shingles agree in their four bits once in fifteen
+        share += (1 - share) / 15
+        return sizes & (agree >= share * used - DEVIATIONS * F.sqrt(share * (1 - share) * used))
 
     def confirm(self, pairs: DataFrame, name: str) -> None:
         """Compare the full sets of pairs and take what is similar as edges."""
@@ -302,8 +335,14 @@ class Join:
                 break
             many = F.col("outside") > self.forest.small
             # near copies become one group before they are compared with each other
-            self.confirm(self.star_pairs(opened if level == 0 else opened.where(many)), f"star-{level}")
-            still = self.open_members(opened.select("tree", "node", "id"))
+            if level == 0:
+                self.confirm(self.star_pairs(opened), "star")
+            still = opened
+            for turn in range(2 if level == 0 else 1):
+                if level == 0:
+                    still = self.open_members(opened.select("tree", "node", "id"))
+                self.confirm(self.random_pairs(still if level == 0 else still.where(many), turn), f"random-{level}-{turn}")
+            still = self.open_members(still.select("tree", "node", "id"))
             discard(opened)
             level += 1
             # without coordinates left, nodes of any size are compared in blocks
@@ -357,7 +396,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, parts: int = 85, of: int =
     id.  Rows that repeat in whole share a component.  An empty table gives no rows; other columns are not read.
 
     Links are confirmed on full sets, so none is wrong.  One can be missed: by all trees (Forest.missed; 6e-9 at the
-    threshold where the first children are small, 1e-7 seven levels deeper) or by its sketch (1e-7).
+    threshold where the first children are small, 1e-7 seven levels deeper) or by its sketch (1e-5).
     """
     rows = written(similar_rows(docs, width, parts, of, forest), "similar-rows")
     lowest = rows.where("root is not null").groupBy(F.col("root").alias("of")).agg(F.min("doc_id").alias("low"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +54,31 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+#: bits of a table of keys, 8 MB
+TABLE_BITS = 1 << 26
+
+
+def bit_table(keys: DataFrame) -> np.ndarray:
+    """Which of TABLE_BITS bits the 64-bit numbers in the one column of keys stand for: of fixed size, however many they are."""
+    key = F.col(keys.columns[0])
+    low, high = key.bitwiseAND(F.lit(TABLE_BITS - 1)), F.shiftrightunsigned(key, 38)
+    bits = keys.select(F.explode(F.array(low, high)).alias("bit"))
+    mask = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("bit").bitwiseAND(F.lit(63)).cast("int")))
+    found = bits.groupBy(F.shiftright("bit", 6).alias("slot")).agg(mask.alias("mask")).toArrow()
+    table = np.zeros(TABLE_BITS // 64, dtype=np.uint64)
+    table[found.column("slot").to_numpy()] = found.column("mask").to_numpy().view(np.uint64)
+    return table
+
+
+def in_bit_table(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether each key may be one of those the table was made of; it always is if it is."""
+    keys = keys.view(np.uint64)
+    found = np.ones(len(keys), dtype=bool)
+    for bit in (keys & np.uint64(TABLE_BITS - 1), keys >> np.uint64(38)):
+        found &= (table[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return found
+
+
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = TEXTS_AT_ONCE) -> Iterator[pa.RecordBatch]:
     """The batches in slices of at most `rows` rows."""
     for batch in batches:
