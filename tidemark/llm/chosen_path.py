@@ -7,16 +7,19 @@ by its own path, and its sets go on to one child for each value there.  A pair o
 one child or more in common for every node they share, while other sets fall apart.  Small nodes
 are compared exhaustively, larger ones branch again, and independent trees are grown side by side, level by level.
 
-Groups, not pairs, are wanted, so a node whose sets are all in one group already is settled and leaves its tree.  First
-each set of a node is compared with one of them and with a few others at random, which settles a large group of near copies at
-the cost of its size.  Of what is left open a node is small if few of its sets are outside its largest group: those are
-compared with all others, and sets of one group are not.  A comparison looks at sketches of the sets first, then at the full sets.
+Groups, not pairs, are wanted, so a node whose sets are all in one group already is settled and leaves its tree.  Trees start
+some branchings below their roots, where sets that are like no other are alone.  First each set is compared with the one it
+meets most often of those that come first in its nodes, and in larger nodes with the likeliest of a few others at random, which
+settles a large group of near copies at the cost of its size.  Of what is left open a node is small if few of its sets
+are outside its largest group: those are compared with all others, and sets of one group are not.  A comparison looks at
+sketches of the sets first, then at the full sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +33,15 @@ from tidemark.llm.near_dups import SEED, shingle_set
 
 #: minwise tokens of a set
 COORDINATES = 64
-#: a sketch splits the shingles into BINS by their hashes and keeps four bits of the smallest one in each
-BINS = 256
+#: a sketch splits the shingles into BINS by their hashes and keeps a number of PLANES bits of the smallest one in each
+BINS, PLANES = 512, 4
 #: shingles hashed at once
 SHINGLES_AT_ONCE = 8192
+#: how many numbers there are
+MARKS = (1 << PLANES) - 1
 #: sets of a node that are compared in one block
 BLOCK = 4096
-#: sets of a node that are compared with each other at random, before all outside its largest group are compared
+#: sets of a larger node that are compared with each other at random, before all outside its largest group are compared
 PARTNERS = 16
 #: a pair at the threshold is hidden by its sketches if they are so many standard deviations off, one in 100,000
 DEVIATIONS = 4.3
@@ -52,6 +57,8 @@ class Forest:
     small: int = 1000
     #: levels whose nodes choose two coordinates; below, the second one is chosen for a share of the nodes
     broad: int = 3
+    #: branchings before nodes are looked at for the first time
+    first: int = 2
 
     def missed(self, threshold: float, levels: int) -> float:
         """Chance that no tree brings a pair at the threshold together, if its nodes branch `levels` times after the root."""
@@ -84,13 +91,16 @@ def minwise(hashes: np.ndarray, multipliers: tuple[np.ndarray, np.ndarray]) -> n
 
 
 def sketch(hashes: np.ndarray) -> np.ndarray:
-    """Four bits a bin, zero for an empty one, 16 bins to a number; hashes are in order."""
-    bins = (hashes.view(np.uint64) >> np.uint64(56)).astype(np.int64) ^ 0x80
+    """A number from 1 to 15 for a bin, zero for an empty one; hashes are in order.
+
+    Of every 64 bins there is one word for each bit of their numbers.
+    """
+    bins = (hashes.view(np.uint64) >> np.uint64(65 - BINS.bit_length())).astype(np.int64) ^ BINS // 2
     first = np.flatnonzero(np.diff(bins, prepend=-1))
-    nibbles = np.zeros(BINS, dtype=np.uint64)
-    nibbles[bins[first]] = hashes[first].view(np.uint64) % np.uint64(15) + np.uint64(1)
-    places = np.arange(16, dtype=np.uint64) * np.uint64(4)
-    return np.bitwise_or.reduce(nibbles.reshape(-1, 16) << places, axis=1).view(np.int64)
+    marks = np.zeros(BINS, dtype=np.uint64)
+    marks[bins[first]] = hashes[first].view(np.uint64) % np.uint64(MARKS) + np.uint64(1)
+    planes = marks >> np.arange(PLANES, dtype=np.uint64)[:, None] & np.uint64(1)
+    return np.packbits(planes.astype(np.uint8), axis=1).reshape(PLANES, -1, 8).transpose(1, 0, 2).copy().view(np.int64).ravel()
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -103,9 +113,9 @@ def majority(hashes: np.ndarray) -> int:
 
 
 _SIGNED = "doc_id bigint, text_hash bigint, node bigint, n bigint, print bigint, tokens array<int>, " + ", ".join(
-    f"s{i} bigint" for i in range(BINS // 16)
+    f"s{i} bigint" for i in range(BINS * PLANES // 64)
 )
-SKETCH = tuple(f"s{i}" for i in range(BINS // 16))
+SKETCH = tuple(f"s{i}" for i in range(BINS * PLANES // 64))
 
 
 def node_of(hashes: np.ndarray) -> int | None:
@@ -162,18 +172,13 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
 def agreement(left: str, right: str) -> tuple[Column, Column]:
     """(bins that agree, bins that are not empty in both) of two sketches, in columns <left>s0 ... and <right>s0 ..."""
-    ones = F.lit(0x1111111111111111).cast("bigint")
-
-    def marked(x: Column) -> Column:
-        """How many of a number's 16 bins are not zero."""
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        return F.bit_count(x.bitwiseAND(ones))
-
     differ, used = F.lit(0), F.lit(0)
-    for s in SKETCH:
-        differ = differ + marked(F.col(left + s).bitwiseXOR(F.col(right + s)))
-        used = used + marked(F.col(left + s).bitwiseOR(F.col(right + s)))
+    for at in range(0, len(SKETCH), PLANES):
+        other, any_bit = F.lit(0).cast("bigint"), F.lit(0).cast("bigint")
+        for s in SKETCH[at : at + PLANES]:
+            other = other.bitwiseOR(F.col(left + s).bitwiseXOR(F.col(right + s)))
+            any_bit = any_bit.bitwiseOR(F.col(left + s)).bitwiseOR(F.col(right + s))
+        differ, used = differ + F.bit_count(other), used + F.bit_count(any_bit)
     return used - differ, used
 
 
@@ -186,6 +191,8 @@ class Join:
 
     def __init__(self, docs: DataFrame, sets: DataFrame, width: int, parts: int, of: int, forest: Forest) -> None:
         self.docs, self.sets, self.width, self.parts, self.of, self.forest = docs, sets, width, parts, of, forest
+        #: links that are not yet part of the groups
+        self.fresh: list[DataFrame] = []
         self.edges: DataFrame | None = None
         self.roots: DataFrame | None = None
         self.read: DataFrame | None = None
@@ -198,54 +205,72 @@ class Join:
             self.order.append([start, *(int(c) for c in rng.permutation(COORDINATES) if c != start)])
         self.levels = (COORDINATES - 1) // 2
 
-    def start(self) -> DataFrame:
-        """tree, node, id: the children of the roots.  Sets that are alone there are left out."""
+    def children(self, node: Column, level: int) -> list[Column]:
+        """Children of a node that the set in `tokens` goes on to at this level of `tree`; the second one may be null."""
+        found = []
+        for at in (2 * level - 1, 2 * level):
+            place = F.get(F.array(*[F.lit(order[at]) for order in self.order]), "tree")
+            found.append(F.xxhash64(node, place, F.get("tokens", place)))
+        if level > self.forest.broad:
+            share = int(1000 * self.forest.second(self.parts / self.of))
+            found[1] = F.when(F.pmod(F.xxhash64(node, F.lit("second")), F.lit(1000)) < share, found[1])
+        return found
+
+    def start(self, level: int) -> DataFrame:
+        """tree, node, id after so many branchings."""
         first = F.array(*[F.lit(order[0]) for order in self.order])
         tree = F.explode(F.sequence(F.lit(0), F.lit(self.forest.trees - 1))).alias("tree")
         rows = self.sets.select("id", "tokens", tree)
-        value = F.get("tokens", F.get(first, "tree"))
-        rows = rows.select("tree", F.xxhash64("tree", value).alias("node"), "id")
-        return rows
+        rows = rows.withColumn("node", F.xxhash64("tree", F.get("tokens", F.get(first, "tree"))))
+        for at in range(1, level + 1):
+            rows = self.grown(rows, at)
+        return rows.drop("tokens")
+
+    def grown(self, rows: DataFrame, level: int) -> DataFrame:
+        nodes = F.filter(F.array(*self.children(F.col("node"), level)), lambda c: c.isNotNull())
+        return rows.select("tree", F.explode(nodes).alias("node"), "id", "tokens")
 
     def branched(self, members: DataFrame, level: int) -> DataFrame:
         """Children of the nodes of members (tree, node, id) at this level."""
-        choices = [F.array(*[F.lit(order[at]) for order in self.order]) for at in (2 * level - 1, 2 * level)]
-        rows = members.join(self.sets.select("id", "tokens"), "id")
-        children = []
-        for choice in choices:
-            place = F.get(choice, "tree")
-            children.append(F.xxhash64("node", place, F.get("tokens", place)))
-        if level > self.forest.broad:
-            share = int(1000 * self.forest.second(self.parts / self.of))
-            children[1] = F.when(F.pmod(F.xxhash64("node", F.lit("second")), F.lit(1000)) < share, children[1])
-        rows = rows.select("tree", F.explode(F.filter(F.array(*children), lambda c: c.isNotNull())).alias("node"), "id")
-        return rows
+        return self.grown(members.join(self.sets.select("id", "tokens"), "id"), level).drop("tokens")
+
+    def together(self, members: DataFrame) -> DataFrame:
+        """members (tree, node, id) without those that are alone in their node."""
+        dealt = members.repartition("tree", "node")
+        shared = dealt.groupBy("tree", "node").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+        return dealt.join(shared, ["tree", "node"], "left_semi")
 
     def open_members(self, members: DataFrame) -> DataFrame:
-        """tree, node, id, root, first (id, root), core, size, outside of the nodes that hold several groups.
+        """tree, node, id, root, first, first_root, core, size, outside of the nodes that hold several groups.
 
-        core is the group with the most sets of a node, outside the number of its sets in other groups.
+        first is the smallest set of a node, core the group with the most, outside the number of sets in other groups.
         """
+        self.settle()
         if self.roots is None:
             rooted = members.withColumn("root", F.col("id"))
         else:
             rooted = members.join(self.roots, members["id"] == self.roots["of"], "left")
             rooted = rooted.select("tree", "node", "id", F.coalesce("root", "id").alias("root"))
-        first = F.min(F.struct("id", "root")).alias("first")
-        if self.roots is None:
-            groups = rooted.groupBy("tree", "node").agg(F.count("*").alias("size"), F.min("root").alias("core"), first, F.lit(1).alias("most"))
-        else:
-            groups = rooted.groupBy("tree", "node", "root").agg(F.count("*").alias("n"), first).groupBy("tree", "node").agg(
-                F.sum("n").alias("size"), F.max_by("root", F.struct("n", "root")).alias("core"), F.min("first").alias("first"),
-                F.max("n").alias("most"),
-            )
-        groups = groups.select("tree", "node", "first", "core", "size", (F.col("size") - F.col("most")).alias("outside"))
+        held = rooted.groupBy("tree", "node", "root").agg(F.count("*").alias("n"), F.min("id").alias("low"))
+        groups = held.groupBy("tree", "node").agg(
+            F.sum("n").alias("size"), F.max("n").alias("most"), F.max_by("root", "n").alias("core"),
+            F.min("low").alias("first"), F.min_by("root", "low").alias("first_root"),
+        )
+        groups = groups.withColumn("outside", F.col("size") - F.col("most")).drop("most")
         return written(rooted.join(groups.where("outside > 0"), ["tree", "node"]), "open-nodes")
 
+    def reopened(self, opened: DataFrame) -> DataFrame:
+        """opened after the links found since."""
+        if not self.fresh:
+            return opened
+        now = self.open_members(opened.select("tree", "node", "id"))
+        discard(opened)
+        return now
+
     def star_pairs(self, opened: DataFrame) -> DataFrame:
-        """a, b: each set beside the smallest one of its node."""
-        met = opened.where(F.col("root") != F.col("first.root"))
-        pairs = met.select(F.col("first.id").alias("a"), F.col("id").alias("b")).distinct()
+        """a, b: each set beside that smallest one of a node which it meets in the most nodes, if they are likely."""
+        met = opened.where(F.col("root") != F.col("first_root")).groupBy("id", "first").agg(F.count("*").alias("n"))
+        pairs = met.groupBy(F.col("id").alias("b")).agg(F.max_by("first", "n").alias("a"))
         info = self.sets.select("id", "n", *SKETCH)
         for side in ("a", "b"):
             pairs = pairs.join(info.select(*[F.col(c).alias(side + ("" if c == "id" else c)) for c in info.columns]), side)
@@ -271,7 +296,7 @@ class Join:
         return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     def random_pairs(self, opened: DataFrame, turn: int) -> DataFrame:
-        """a < b: likely pairs of different groups among about PARTNERS sets of a node that a hash brings together."""
+        """a, b: each set outside the core beside the likeliest of another group, of PARTNERS or so that a hash brings together."""
         info = self.sets.select("id", "n", *SKETCH)
         few = F.pmod(F.xxhash64("id", F.lit(turn), "tree"), F.ceil(F.col("size") / PARTNERS).cast("bigint"))
         rows = opened.join(info, "id").select("tree", "node", "id", "root", "core", "n", *SKETCH, few.alias("few"))
@@ -280,17 +305,23 @@ class Join:
             rows.select("tree", "node", "few", "core", *[F.col(c).alias(of + ("" if c == "id" else c)) for c in names]) for of in "ab"
         )
         met = left.where(F.col("aroot") != F.col("core")).drop("core").join(right, ["tree", "node", "few"])
-        once = (F.col("broot") == F.col("core")) | (F.col("a") < F.col("b"))
-        pairs = met.where((F.col("aroot") != F.col("broot")) & once & self._likely())
-        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        agree, used = agreement("a", "b")
+        pairs = met.where((F.col("aroot") != F.col("broot")) & self._likely()).select("a", "b", (agree / used).alias("share"))
+        return pairs.groupBy("a").agg(F.max_by("b", "share").alias("b"))
 
     def _likely(self) -> Column:
+        """Whether a pair at the threshold would agree in so few bins once in 100,000 times or more.
+
+        The bins that are used are a sample of the union without replacement, so the fewer shingles are not in it the
+        less it varies; and different shingles agree in their numbers once in MARKS.
+        """
         sizes = self.of * F.least("an", "bn") >= self.parts * F.greatest("an", "bn")
         agree, used = agreement("a", "b")
-        share = self.parts / self.of
-        # different shingles agree in their four bits once in fifteen
-        share += (1 - share) / 15
-        return sizes & (agree >= share * used - DEVIATIONS * F.sqrt(share * (1 - share) * used))
+        share, chance = self.parts / self.of, 1 / MARKS
+        union = (F.col("an") + F.col("bn")) / (1 + share)
+        drawn = (1 - chance) ** 2 * share * (1 - share) * F.greatest(1 - used / union, F.lit(0.0))
+        spread = F.sqrt(used * (drawn + (1 - share) * chance * (1 - chance)))
+        return sizes & (agree + 1 >= (share + (1 - share) * chance) * used - DEVIATIONS * spread)
 
     def confirm(self, pairs: DataFrame, name: str) -> None:
         """Compare the full sets of pairs and take what is similar as edges."""
@@ -312,57 +343,63 @@ class Join:
         discard(wanted)
         discard(pairs)
         if not found.isEmpty():
-            self.add(found)
+            self.fresh.append(found)
 
-    def add(self, links: DataFrame) -> None:
-        """Take links a, b as edges, and bring the groups up to them so far as two rounds do.
+    def settle(self) -> None:
+        """Bring the groups up to the links found since, so far as two rounds do.
 
         Sets of one group are always connected; that two groups are not is settled at the end only.
         """
-        edges = links if self.edges is None else links.union(self.edges)
-        before = [x for x in (self.edges, self.roots) if x is not None]
-        self.edges = star_edges(edges, rounds=2)
+        if not self.fresh:
+            return
+        before = [x for x in (self.edges, self.roots, *self.fresh) if x is not None]
+        self.edges = star_edges(self.links(), rounds=2)
         self.roots = written(self.edges.groupBy(F.col("a").alias("of")).agg(F.min("b").alias("root")), "roots")
+        self.fresh = []
         for table in before:
             discard(table)
 
+    def links(self) -> DataFrame | None:
+        """a, b that connect what is connected; None if nothing is."""
+        links = [x for x in (*self.fresh, self.edges) if x is not None]
+        return reduce(DataFrame.union, links) if links else None
+
     def run(self) -> DataFrame | None:
         """of, root of every set that is not the smallest of its group; None if there are no links at all."""
-        members, level = self.start(), 0
-        while True:
-            opened = self.open_members(members)
-            if opened.isEmpty():
-                break
-            many = F.col("outside") > self.forest.small
+        level = min(self.forest.first, self.levels)
+        members = written(self.together(self.start(level)), f"level-{level}")
+        # all further steps are about sets that are not alone
+        self.sets = written(self.sets.join(members.select("id").distinct(), "id", "left_semi"), "shared-sets")
+        opened = self.open_members(members)
+        if not opened.isEmpty():
+            self.confirm(self.star_pairs(opened), "star")
+        while not opened.isEmpty():
             # near copies become one group before they are compared with each other
-            if level == 0:
-                self.confirm(self.star_pairs(opened), "star")
-            still = opened
-            for turn in range(2 if level == 0 else 1):
-                if level == 0:
-                    still = self.open_members(opened.select("tree", "node", "id"))
-                self.confirm(self.random_pairs(still if level == 0 else still.where(many), turn), f"random-{level}-{turn}")
-            still = self.open_members(still.select("tree", "node", "id"))
-            discard(opened)
-            level += 1
+            opened = self.reopened(opened)
+            self.confirm(self.random_pairs(opened.where(F.col("outside") > PARTNERS), level), f"random-{level}")
+            opened = self.reopened(opened)
             # without coordinates left, nodes of any size are compared in blocks
-            last = level > self.levels
-            self.confirm(self.node_pairs(still if last else still.where(~many)), f"node-{level}")
-            large = still.where(many)
-            if last or large.isEmpty():
+            last = level >= self.levels
+            large = F.col("outside") > self.forest.small
+            self.confirm(self.node_pairs(opened if last else opened.where(~large)), f"node-{level}")
+            rest = opened.where(large).select("tree", "node", "id")
+            if last or rest.isEmpty():
                 break
-            members = written(self.branched(large.select("tree", "node", "id"), level), f"level-{level}")
-            discard(still)
-        return None if self.edges is None else component_roots(self.edges).withColumnRenamed("node", "of")
+            level += 1
+            members = written(self.together(self.branched(rest, level)), f"level-{level}")
+            discard(opened)
+            opened = self.open_members(members)
+        links = self.links()
+        return None if links is None else component_roots(links).withColumnRenamed("node", "of")
 
 
 def distinct_sets(known: DataFrame) -> DataFrame:
     """id, n, print, tokens, sketch, w_doc, w_text of every distinct set of known that is not empty."""
     first = F.min(F.struct(F.col("doc_id").alias("d"), F.col("text_hash").alias("t")))
     rows = known.where("node is not null").groupBy(F.col("node").alias("id")).agg(
-        first.alias("x"), *[F.first(c).alias(c) for c in ("n", "print", "tokens", *SKETCH)]
+        first.alias("x"), F.first(F.struct("n", "print", "tokens", *SKETCH)).alias("set")
     )
-    return rows.select("id", "n", "print", "tokens", *SKETCH, F.col("x.d").alias("w_doc"), F.col("x.t").alias("w_text"))
+    return rows.select("id", "set.*", F.col("x.d").alias("w_doc"), F.col("x.t").alias("w_text"))
 
 
 def similar_rows(
