@@ -43,6 +43,8 @@ MARKS = (1 << PLANES) - 1
 BLOCK = 4096
 #: sets of a larger node that are compared with each other at random, before all outside its largest group are compared
 PARTNERS = 16
+#: pairs whose sketches, and pairs whose nodes are compared at once
+PAIRS_AT_ONCE, NODES_AT_ONCE = 16384, 512
 #: a pair at the threshold is hidden by its sketches if they are so many standard deviations off, one in 100,000
 DEVIATIONS = 4.3
 
@@ -182,6 +184,77 @@ def agreement(left: str, right: str) -> tuple[Column, Column]:
     return used - differ, used
 
 
+def likely(agree: np.ndarray, used: np.ndarray, sizes: np.ndarray, others: np.ndarray, share: float) -> np.ndarray:
+    """What Join._likely() says, but for the sizes."""
+    chance = 1 / MARKS
+    drawn = (1 - chance) ** 2 * share * (1 - share) * np.maximum(1 - used * (1 + share) / (sizes + others), 0)
+    spread = np.sqrt(used * (drawn + (1 - share) * chance * (1 - chance)))
+    return agree + 1 >= (share + (1 - share) * chance) * used - DEVIATIONS * spread
+
+
+def cells_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows that are in order of `cell`, so that none is spread over two batches."""
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        cell = column(batch, "cell").to_numpy()
+        cuts = np.flatnonzero(np.diff(cell)) + 1
+        if rest and len(cell) and column(rest[0], "cell")[0].as_py() != cell[0]:
+            yield pa.concat_batches(rest)
+            rest = []
+        if len(cuts):
+            yield pa.concat_batches([*rest, batch.slice(0, cuts[-1])])
+            rest = []
+            batch = batch.slice(cuts[-1])
+        if batch.num_rows:
+            rest.append(batch)
+    if rest:
+        yield pa.concat_batches(rest)
+
+
+def likely_pairs(share: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """a, b of rows in order of their cell: likely pairs of different groups, one of which asks and the other is asked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in cells_of(batches):
+            cell, ids, roots, n, number = (column(batch, c).to_numpy() for c in ("cell", "id", "root", "n", "number"))
+            outer, asks, asked = (column(batch, c).to_numpy(zero_copy_only=False) for c in ("outer", "asks", "asked"))
+            marks = np.stack([column(batch, s).to_numpy() for s in SKETCH], axis=1).reshape(len(ids), -1, PLANES)
+            held = column(batch, "nodes")
+            counts = np.diff(held.offsets.to_numpy())
+            nodes = np.full((len(ids), counts.max()), 1 << 40, dtype=np.int64)
+            nodes[np.arange(nodes.shape[1]) < counts[:, None]] = held.flatten().to_numpy()
+            first = np.flatnonzero(np.diff(cell, prepend=cell[0] - 1 if cell[0] > 0 else cell[0] + 1))
+            sizes = np.diff(first, append=len(cell))
+            begin, size = np.repeat(first, sizes), np.repeat(sizes, sizes)
+            left = np.flatnonzero(asks)
+            total = np.cumsum(size[left])
+            at = 0
+            while at < len(left):
+                to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS_AT_ONCE, "right")))
+                some = left[at:to]
+                a = np.repeat(some, size[some])
+                steps = np.arange(len(a)) - np.repeat(np.cumsum(size[some]) - size[some], size[some])
+                b = begin[a] + steps
+                at = to
+                met = asked[b] & (roots[a] != roots[b]) & (~outer[b] | (ids[a] < ids[b]))
+                met &= np.minimum(n[a], n[b]) >= share * np.maximum(n[a], n[b]) - 1e-6
+                a, b = a[met], b[met]
+                one, two = marks[a], marks[b]
+                used = np.bitwise_count(np.bitwise_or.reduce(one | two, axis=2).view(np.uint64)).sum(axis=1, dtype=np.int64)
+                agree = used - np.bitwise_count(np.bitwise_or.reduce(one ^ two, axis=2).view(np.uint64)).sum(axis=1, dtype=np.int64)
+                met = likely(agree, used, n[a], n[b], share)
+                a, b = a[met], b[met]
+                for k in range(0, len(a), NODES_AT_ONCE):
+                    l, r = a[k : k + NODES_AT_ONCE], b[k : k + NODES_AT_ONCE]
+                    # filled up with numbers that differ, so that they are no common nodes
+                    theirs = nodes[r] + (nodes[r] == 1 << 40)
+                    common = (nodes[l][:, :, None] == theirs[:, None, :]).any(axis=2)
+                    here = np.where(common, nodes[l], 1 << 41).min(axis=1) == number[l]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[l[here]]), pa.array(ids[r[here]])], ["a", "b"])
+
+    return run
+
+
 #: finds pairs (a, b) of the sets it is given
 Candidates = Callable[[DataFrame], DataFrame]
 
@@ -277,23 +350,31 @@ class Join:
         return pairs.where(self._likely()).select("a", "b")
 
     def node_pairs(self, opened: DataFrame) -> DataFrame:
-        """a < b: all likely pairs of different groups inside a node, in blocks: sets outside the core beside all of the node."""
-        names = ["id", "root", "n", *SKETCH]
-        rows = opened.join(self.sets.select("id", "n", *SKETCH), "id")
-
-        def side(of: str, own: str, n: Column, other: str, m: Column) -> DataFrame:
-            mine = F.pmod(F.xxhash64("id"), F.ceil(n).cast("bigint")).alias(own)
-            spread = F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(m).cast("bigint") - 1)).alias(other)
-            named = [F.col(c).alias(of + ("" if c == "id" else c)) for c in names]
-            return rows.select("tree", "node", "core", "root", mine, *named, spread).drop("root")
-
-        outside, everything = F.col("outside") / self.forest.small, F.col("size") / BLOCK
-        left = side("a", "x", outside, "y", everything).where(F.col("aroot") != F.col("core")).drop("core")
-        right = side("b", "y", everything, "x", outside)
-        met = left.join(right, ["tree", "node", "x", "y"])
-        once = (F.col("broot") == F.col("core")) | (F.col("a") < F.col("b"))
-        pairs = met.where((F.col("aroot") != F.col("broot")) & once & self._likely())
-        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        """a, b: all likely pairs of different groups inside a node, in blocks: sets outside the core beside all of the node.
+
+        A pair that shares several nodes is given in one of them only.
+        """
+        number = F.hash("tree", "node")
+        nodes = opened.groupBy("id").agg(F.collect_list(number).alias("nodes"))
+        rows = opened.join(self.sets.select("id", "n", *SKETCH).join(nodes, "id"), "id")
+
+        def dealt(blocks: Column) -> tuple[Column, Column]:
+            """The block of a set, and all of them."""
+            count = F.ceil(blocks).cast("bigint")
+            return F.pmod(F.xxhash64("id"), count), F.sequence(F.lit(0).cast("bigint"), count - 1)
+
+        outer = F.col("root") != F.col("core")
+        (x, xs), (y, ys) = dealt(F.col("outside") / self.forest.small), dealt(F.col("size") / BLOCK)
+        beside = F.transform(xs, lambda at: F.struct(at.alias("x"), y.alias("y")))
+        across = F.transform(ys, lambda at: F.struct(x.alias("x"), at.alias("y")))
+        cells = F.explode(F.when(outer, F.array_union(beside, across)).otherwise(beside)).alias("in")
+        rows = rows.select("tree", "node", "id", "root", "n", *SKETCH, "nodes", number.alias("number"), outer.alias("outer"), x.alias("x"), y.alias("y"), cells)
+        asks = (F.col("outer") & (F.col("x") == F.col("in.x"))).alias("asks")
+        asked = (F.col("y") == F.col("in.y")).alias("asked")
+        cell = F.xxhash64("tree", "node", "in.x", "in.y").alias("cell")
+        rows = rows.select(cell, "id", "root", "n", *SKETCH, "nodes", "number", "outer", asks, asked)
+        dealt_out = rows.repartition("cell").sortWithinPartitions("cell")
+        return dealt_out.mapInArrow(likely_pairs(self.parts / self.of), "a bigint, b bigint")
 
     def random_pairs(self, opened: DataFrame, turn: int) -> DataFrame:
         """a, b: each set outside the core beside the likeliest of another group, of PARTNERS or so that a hash brings together."""
