@@ -203,3 +203,49 @@ def test_a_bit_table_holds_all_its_keys(spark):
     found = in_bit_table(table, keys)
     assert found[:1500].all() and found[1500:].sum() < 5
     assert not in_bit_table(bit_table(spark.createDataFrame([], "k bigint")), keys).any()
+
+
+def outsiders(members=120, others=60):
+    """Near copies of one text, and texts that are nearly similar enough to them."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(140)]
+
+    def changed(places):
+        return " ".join(f"x{rng.randrange(10**9)}" if i in places else w for i, w in enumerate(base))
+
+    texts = [changed({rng.randrange(140)}) for _ in range(members)]
+    texts += [changed(set(range(5 + rng.randrange(5), 140, 20))) for _ in range(others)]
+    return [(i, t, "en", "s", None) for i, t in enumerate(texts)]
+
+
+def test_texts_just_below_the_threshold_make_few_full_comparisons(spark, monkeypatch):
+    """What is compared in full does not grow with copies times those that only nearly are copies."""
+    compared = []
+    confirm = chosen_path.Join.confirm
+
+    def counted(self, pairs, name):
+        given = [tuple(sorted(r)) for r in pairs.collect()]
+        assert len(given) == len(set(given))
+        compared.append(len(given))
+        confirm(self, pairs, name)
+
+    monkeypatch.setattr(chosen_path.Join, "confirm", counted)
+    rows = outsiders()
+    want, _ = plain_rows([r[:2] for r in rows])
+    assert found(documents(spark, rows)) == want
+    assert len({r[2] for r in want}) == 61
+    assert sum(compared) < 1500
+
+
+def test_pairs_in_blocks_are_those_in_one(spark, monkeypatch):
+    """Nodes of many blocks, over batches of few rows: each likely pair comes once, in any cut."""
+    rows = outsiders(60, 30)
+    want, _ = plain_rows([r[:2] for r in rows], parts=7, of=10)
+    monkeypatch.setattr(chosen_path, "BLOCK", 7)
+    monkeypatch.setattr(chosen_path, "PAIRS_AT_ONCE", 50)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        assert found(documents(spark, rows), parts=7, of=10, forest=chosen_path.Forest(small=1000)) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)

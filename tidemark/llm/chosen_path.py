@@ -9,7 +9,7 @@ are compared exhaustively, larger ones branch again, and independent trees are g
 
 Groups, not pairs, are wanted, so a node whose sets are all in one group already is settled and leaves its tree.  Trees start
 some branchings below their roots, where sets that are like no other are alone.  First each set is compared with the one it
-meets most often of those that come first in its nodes, and in larger nodes with the likeliest of a few others at random, which
+meets most often of those that come first in its nodes, and in larger nodes with three likely ones of a few at random, which
 settles a large group of near copies at the cost of its size.  Of what is left open a node is small if few of its sets
 are outside its largest group: those are compared with all others, and sets of one group are not.  A comparison looks at
 sketches of the sets first, then at the full sets.
@@ -377,7 +377,8 @@ class Join:
         return dealt_out.mapInArrow(likely_pairs(self.parts / self.of), "a bigint, b bigint")
 
     def random_pairs(self, opened: DataFrame, turn: int) -> DataFrame:
-        """a, b: each set outside the core beside the likeliest of another group, of PARTNERS or so that a hash brings together."""
+        """a < b: each set outside the core beside the likeliest of another group and two more likely ones, of PARTNERS or so
+        that a hash brings together in each node."""
         info = self.sets.select("id", "n", *SKETCH)
         few = F.pmod(F.xxhash64("id", F.lit(turn), "tree"), F.ceil(F.col("size") / PARTNERS).cast("bigint"))
         rows = opened.join(info, "id").select("tree", "node", "id", "root", "core", "n", *SKETCH, few.alias("few"))
@@ -388,7 +389,11 @@ class Join:
         met = left.where(F.col("aroot") != F.col("core")).drop("core").join(right, ["tree", "node", "few"])
         agree, used = agreement("a", "b")
         pairs = met.where((F.col("aroot") != F.col("broot")) & self._likely()).select("a", "b", (agree / used).alias("share"))
-        return pairs.groupBy("a").agg(F.max_by("b", "share").alias("b"))
+        mixed = F.xxhash64("a", "b")
+        # the likeliest alone would make pairs; two more, whichever they are, make one group of near copies
+        some = F.array(F.max_by("b", "share"), F.max_by("b", mixed), F.min_by("b", mixed))
+        best = pairs.groupBy("a").agg(some.alias("some")).select("a", F.explode("some").alias("b"))
+        return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     def _likely(self) -> Column:
         """Whether a pair at the threshold would agree in so few bins once in 100,000 times or more.
@@ -513,8 +518,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, parts: int = 85, of: int =
     Null, empty and blank texts have no shingles and are linked with nothing, not even with each other or rows of the same
     id.  Rows that repeat in whole share a component.  An empty table gives no rows; other columns are not read.
 
-    Links are confirmed on full sets, so none is wrong.  One can be missed: by all trees (Forest.missed; 6e-9 at the
-    threshold where the first children are small, 1e-7 seven levels deeper) or by its sketch (1e-5).
+    Links are confirmed on full sets, so none is wrong.  One can be missed: by all trees (Forest.missed; 3e-8 at the
+    threshold where the first nodes looked at are small, 1e-7 after seven branchings) or by its sketch (1e-5).
     """
     rows = written(similar_rows(docs, width, parts, of, forest), "similar-rows")
     lowest = rows.where("root is not null").groupBy(F.col("root").alias("of")).agg(F.min("doc_id").alias("low"))
