@@ -106,3 +106,28 @@ def test_a_shared_passage_makes_no_pairs_by_the_square(spark, monkeypatch):
         assert similar_texts.similar_groups(documents(spark, rows)).select("root").distinct().count() == n
         sizes[n] = sum(compared)
     assert sizes[300] < 300 and sizes[1200] < 1200
+
+
+def test_few_tables_are_written_aside(spark, monkeypatch):
+    """Each table written is several plans that the driver holds: a stage of a few rounds needs no hundred of them."""
+    from tidemark.llm import chosen_path, common, graph
+
+    names = []
+
+    def noted(df, name):
+        names.append(name)
+        return common.written(df, name)
+
+    for module in (chosen_path, graph, similar_texts):
+        monkeypatch.setattr(module, "written", noted)
+    rng = random.Random(9)
+    rows = []
+    for family in range(20):
+        words = [f"f{family}w{i}" for i in range(100)]
+        for _ in range(8):
+            given = list(words)
+            for _ in range(3):
+                given[rng.randrange(100)] = f"n{rng.randrange(10**9)}"
+            rows.append((len(rows), " ".join(given), "en", "a", None))
+    assert same_split(similar_texts.similar_groups(documents(spark, rows)), rows)
+    assert len(names) < 20
