@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import bit_table, column, discard, identified, in_bit_table, pieces, texts_of, written
-from tidemark.llm.graph import component_roots, star_edges
+from tidemark.llm.graph import star_edges
 from tidemark.llm.near_dups import SEED, shingle_set
 
 #: minwise tokens of a set
@@ -151,12 +151,11 @@ def signed(docs: DataFrame, width: int, prints: bool) -> DataFrame:
     return rows.mapInArrow(run, _SIGNED)
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """id, hashes of the sets of `wanted` (w_doc, w_text: a row that has it), and perhaps of a few others.
+def full_sets(docs: DataFrame, table: np.ndarray, width: int) -> DataFrame:
+    """id, hashes of the sets of the rows whose hash of doc_id and text_hash is in a bit table, and perhaps of a few others.
 
-    Tasks tell by a bit table of fixed size which texts to read, so texts are not shuffled; as the table fills up, more are read.
+    Tasks tell by the table, of fixed size, which texts to read, so texts are not shuffled; as it fills up, more are read.
     """
-    table = bit_table(wanted.select(F.xxhash64("w_doc", "w_text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -417,8 +416,8 @@ class Join:
         ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
         if self.read is not None:
             ends = ends.join(self.read.select("id"), "id", "left_anti")
-        wanted = written(ends.join(self.sets.select("id", "w_doc", "w_text"), "id"), "wanted")
-        if not wanted.isEmpty():
+        wanted = bit_table(ends.join(self.sets.select("id", "w_doc", "w_text"), "id").select(F.xxhash64("w_doc", "w_text")))
+        if wanted.any():
             more = written(full_sets(self.docs, wanted, self.width), "full-sets")
             self.read = more if self.read is None else self.read.union(more)
         left = self.read.select(F.col("id").alias("a"), F.col("hashes").alias("a_set"))
@@ -426,7 +425,6 @@ class Join:
         both, common = F.size("a_set") + F.size("b_set"), F.size(F.array_intersect("a_set", "b_set"))
         similar = self.of * common >= self.parts * (both - common)
         found = written(pairs.join(left, "a").join(right, "b").where(similar).select("a", "b"), f"links-{name}")
-        discard(wanted)
         discard(pairs)
         if not found.isEmpty():
             self.fresh.append(found)
@@ -438,9 +436,9 @@ class Join:
         """
         if not self.fresh:
             return
-        before = [x for x in (self.edges, self.roots, *self.fresh) if x is not None]
+        before = [x for x in (self.edges, *self.fresh) if x is not None]
         self.edges = star_edges(self.links(), rounds=2)
-        self.roots = written(self.edges.groupBy(F.col("a").alias("of")).agg(F.min("b").alias("root")), "roots")
+        self.roots = self.edges.groupBy(F.col("a").alias("of")).agg(F.min("b").alias("root"))
         self.fresh = []
         for table in before:
             discard(table)
@@ -476,7 +474,7 @@ class Join:
             discard(opened)
             opened = self.open_members(members)
         links = self.links()
-        return None if links is None else component_roots(links).withColumnRenamed("node", "of")
+        return None if links is None else star_edges(links).select(F.col("a").alias("of"), F.col("b").alias("root"))
 
 
 def distinct_sets(known: DataFrame) -> DataFrame:

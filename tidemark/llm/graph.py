@@ -14,26 +14,26 @@ from tidemark.llm.common import written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
+    """a, b with b < a, some of them repeated."""
     both = edges.union(edges.select("b", "a"))
     lowest = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
-    out = both.where("b > a").join(lowest, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
-    return out.where("a <> b").distinct()
+    return both.where("b > a").join(lowest, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    lowest = down.groupBy("a").agg(F.min("b").alias("low"))
-    moved = down.join(lowest, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
-    return moved.union(lowest.select("a", F.col("low").alias("b"))).distinct()
+    """edges: those of a large star, b < a.  The edge to the lowest neighbour stays, the others' ends move there."""
+    lowest = edges.groupBy("a").agg(F.min("b").alias("low"))
+    end = F.when(F.col("b") == F.col("low"), F.col("a")).otherwise(F.col("b"))
+    return edges.join(lowest, "a").select(end.alias("a"), F.col("low").alias("b")).distinct()
 
 
 def star_edges(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """Edges a, b with b < a that connect what edges connects, after so many rounds, or after the last one that changes them.
 
-    After the last one b is the smallest node of a's component.
+    After the last one b is the smallest node of a's component.  edges is read several times, so it should be a table;
+    direction, repeats and loops do not matter.
     """
-    current = written(edges.select("a", "b").where("a <> b").distinct(), "edges")
-    mark, done = None, 0
+    current, mark, done = edges.select("a", "b"), None, 0
     while rounds is None or done < rounds:
         done += 1
         current = written(_small_star(_large_star(current)), "edges")
@@ -51,4 +51,5 @@ def component_roots(edges: DataFrame) -> DataFrame:
     edges has bigint columns a and b; direction, repeats and loops do not matter.  Rounds go on until
     the table stops changing; each is written to the shared folder, so lineage stays short.
     """
-    return star_edges(edges).select(F.col("a").alias("node"), F.col("b").alias("root"))
+    table = written(edges.select("a", "b").where("a <> b").distinct(), "edges")
+    return star_edges(table).select(F.col("a").alias("node"), F.col("b").alias("root"))
