@@ -7,7 +7,8 @@ from collections import defaultdict
 
 import corpus_pipeline
 from tests.llm.helpers import DOCS, corpus, documents
-from tidemark.llm import similar_texts
+from tidemark.llm import near_dups, similar_texts
+from tidemark.llm.common import written
 
 
 def plain_set(text):
@@ -131,3 +132,14 @@ def test_few_tables_are_written_aside(spark, monkeypatch):
             rows.append((len(rows), " ".join(given), "en", "a", None))
     assert same_split(similar_texts.similar_groups(documents(spark, rows)), rows)
     assert len(names) < 20
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_keys_of_few_prints_are_not_broadcast(spark):
+    """Spark takes the 64 keys of a fingerprint for one row as large as the fingerprint."""
+    prints = written(spark.createDataFrame([(i, i) for i in range(50)], "print bigint, low bigint"), "prints")
+    plan = plan_of(near_dups.links(prints))
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan

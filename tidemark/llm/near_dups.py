@@ -147,7 +147,9 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     filed = keyed(prints, nearby=False).withColumnRenamed("print", "a")
     asked = keyed(prints, nearby=True).withColumnRenamed("print", "b")
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
-    return filed.join(asked, (filed["key"] == asked["key"]) & near).select("a", "b").distinct()
+    # Spark takes either side to be as small as prints, whose keys are 12 and up to 72 times as many rows: not to be broadcast
+    met = filed.hint("merge").join(asked, (filed["key"] == asked["key"]) & near)
+    return met.select("a", "b").distinct()
 
 
 def groups(docs: DataFrame, width: int = 3, radius: int = RADIUS) -> DataFrame:
