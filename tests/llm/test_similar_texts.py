@@ -7,7 +7,7 @@ from collections import defaultdict
 
 import corpus_pipeline
 from tests.llm.helpers import DOCS, corpus, documents
-from tidemark.llm import near_dups, similar_texts
+from tidemark.llm import chosen_path, near_dups, similar_texts
 from tidemark.llm.common import written
 
 
@@ -143,3 +143,14 @@ def test_keys_of_few_prints_are_not_broadcast(spark):
     prints = written(spark.createDataFrame([(i, i) for i in range(50)], "print bigint, low bigint"), "prints")
     plan = plan_of(near_dups.links(prints))
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_nodes_of_few_sets_are_not_broadcast(spark):
+    """Spark takes a set for one row in all the nodes it is in."""
+    docs = documents(spark)
+    sets = written(chosen_path.distinct_sets(written(chosen_path.signed(docs, 5, True), "signed")), "sets")
+    join = chosen_path.Join(docs, sets, 5, 4, 5, chosen_path.Forest())
+    members = join.together(join.start(2))
+    plan = plan_of(members)
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert members.count() > members.select("id").distinct().count() > 0

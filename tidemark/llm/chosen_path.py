@@ -310,7 +310,8 @@ class Join:
         """members (tree, node, id) without those that are alone in their node."""
         dealt = members.repartition("tree", "node")
         shared = dealt.groupBy("tree", "node").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-        return dealt.join(shared, ["tree", "node"], "left_semi")
+        # both sides lie by node already; Spark counts a set once, not in each of its nodes, and might broadcast all nodes
+        return dealt.join(shared.hint("merge"), ["tree", "node"], "left_semi")
 
     def open_members(self, members: DataFrame) -> DataFrame:
         """tree, node, id, root, first, first_root, core, size, outside of the nodes that hold several groups.
