@@ -6,6 +6,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tidemark.functions import terms
@@ -62,6 +63,19 @@ def test_a_term_of_too_many_tokens_stops_the_query(spark):
         terms.extract_from_table(rows, table, "id", "text", longest=2).collect()
 
 
+@pytest.mark.parametrize("held", [4 << 20, 0])
+def test_texts_stay_in_place_for_a_small_vocabulary(spark, monkeypatch, held):
+    monkeypatch.setattr(terms, "HELD_BYTES", held)
+    rows = spark.createDataFrame([(1, "red fox, red"), (1, "a fox"), (2, None), (None, "fox"), (3, "")], "id int, text string")
+    vocabulary = spark.createDataFrame([("Fox",), ("red  fox",), ("a",), (" ",), (None,)], "term string")
+    found = terms.extract_from_table(rows, vocabulary, "id", "text")
+    both = ["a", "fox", "red  fox"]
+    want = [Row(id=i, terms=t) for i, t in [(1, both), (1, both), (2, []), (None, []), (3, [])]]
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, want))
+    joins = [x for x in found._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join [_g" in x]
+    assert len(joins) == 1 and ("BroadcastHashJoin" in joins[0]) == (held > 0)
+
+
 def postings(spark, n, seed):
     rng = random.Random(seed)
     rows = []

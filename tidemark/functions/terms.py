@@ -73,12 +73,19 @@ def phrase_grams(words: Column, lengths: Iterable[int]) -> Column:
     return F.array_distinct(F.flatten(F.array(*[runs(length) for length in lengths])))
 
 
+#: bytes of phrases that every task may hold: a table within them stays where the texts are
+HELD_BYTES = 4 << 20
+#: bytes of a held phrase besides its text
+HELD_EACH = 100
+
+
 def extract_from_table(rows: DataFrame, vocabulary: DataFrame, key: str, text: str, longest: int = 8) -> DataFrame:
     """(key, terms) of every row: the sorted distinct terms of vocabulary (one column, term) that its text holds.
 
     Gives what extract_terms gives, for vocabularies too large to stand in a plan: terms are a table, texts become runs of as
-    many tokens as terms have, and the two meet in a join by hash, with the phrases compared besides.  Terms of more
-    than `longest` tokens stop the query.  key identifies a row; a null text and one without terms have none.
+    many tokens as terms have, and the two meet in a join by hash, with the phrases compared besides.  A table within
+    HELD_BYTES is broadcast, so that no run of tokens is shuffled; Spark cannot tell the size of every table by itself.  Terms
+    of more than `longest` tokens stop the query.  key identifies a row; a null text and one without terms have none.
     """
     spelled = vocabulary.select(F.lower("term").alias("term")).where("term <> ''").distinct()
     split = spelled.select("term", tokens(F.col("term")).alias("_t"))
@@ -87,8 +94,12 @@ def extract_from_table(rows: DataFrame, vocabulary: DataFrame, key: str, text: s
     )
     phrases = split.select("term", size.alias("n"), F.array_join("_t", " ").alias("phrase"))
     phrases = phrases.select("term", "n", "phrase", F.xxhash64("phrase").alias("_h"))
-    # at most `longest` numbers
-    lengths = sorted(r[0] for r in phrases.select("n").distinct().collect() if r[0])
+    # at most `longest` rows
+    held = F.sum(F.octet_length("term") + F.octet_length("phrase") + HELD_EACH)
+    sizes = {r[0]: r[1] for r in phrases.groupBy("n").agg(held).collect() if r[0]}
+    lengths = sorted(sizes)
+    if sum(sizes.values()) <= HELD_BYTES:
+        phrases = F.broadcast(phrases)
     if not lengths:
         return rows.select(key, no_strings().alias("terms"))
     grams = rows.select(F.col(key).alias("_key"), F.explode(let(tokens(F.col(text)), lambda words: phrase_grams(words, lengths))).alias("_gram"))
