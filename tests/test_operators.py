@@ -380,6 +380,29 @@ def test_attempts(spark):
     }
 
 
+def test_attempts_are_read_twice(spark, tmp_path):
+    """Once for what decides and once for the answers that matter, also where an attempt or a listing's id repeats."""
+    ok, bad = json.dumps(GOOD), json.dumps({**GOOD, "extra": 1})
+    rows = [
+        (1, 1, "end", None, bad), (1, 2, "end", None, ok), (1, 2, "end", None, ok), (1, 3, "end", None, bad),
+        (2, 1, "end", None, bad), (2, 1, "end", None, bad), (2, 2, None, "timeout", None), (2, 2, None, "timeout", None),
+        (3, 1, "end", None, bad), (None, 1, "end", None, bad),
+    ]
+    df = spark.createDataFrame(rows, "listing_id int, attempt int, stop_reason string, transport_error string, response string")
+    df.write.parquet(f"{tmp_path}/attempts")
+    found = components.resolve_attempts(spark.read.parquet(f"{tmp_path}/attempts"))
+    # what decides is written aside by then
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    got = {r.listing_id: (r.outcome, r.attempts, r.components and r.components.title_raw, r.error, r.raw_response) for r in found.collect()}
+    wrong = "extraction failed after %d attempts: %s"
+    assert got == {
+        1: ("accepted", 2, GOOD["title_raw"], None, None),
+        2: ("failed", 2, None, wrong % (2, "timeout"), bad),
+        3: ("failed", 1, None, wrong % (1, "unknown key"), bad),
+        None: ("failed", 1, None, wrong.replace("%s", "null") % 1, None),
+    }
+
+
 def test_flatten(spark, lookup):
     body = {
         **GOOD, "skills": ["GO", "Fortran"], "skills_unmapped": ["golang", " Cobol "],
